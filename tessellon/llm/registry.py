@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup
+from . import mixing, near_dedup, personal_data, secret_scan, toxicity
 from .common import table
 
 
+def op3_personal_data(spark, sf_dir):
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -14,7 +18,16 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op5_mix, op6_simhash_near_dedup)
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+_QUERIES = (op3_personal_data, op5_mix, op6_simhash_near_dedup, op8_secret_scan, op10_toxicity)
 
 
 def queries() -> dict:
