@@ -106,6 +106,9 @@ id 7602ad27cf5550de1c and token 1beb58b8af68854f
 | a | b | c | 10 | 20 | 30 |
 A B C D E F G ... !!! ### --- ***
 THE PRICE IS RIGHT!! AND THE SHOW IS OVER!!
+THE!! SUN. CAME!! OUT,!! OF. IT,!! AND!! WENT.
+Hall. Sun. May. Tree. House. Stone. River. Road.
+Hall Hall Hall. Hall Stone Stone Stone Stone river river
 At At At At At At At At At At
 Report Report Report Report Report Report
 Hall. May Be The Old New House
@@ -293,6 +296,9 @@ def _holds(label: str, found: str) -> bool:
         return 8 <= len(digits) <= 15
     if label == "IP":
         return all(x.isdigit() and int(x[:4]) <= 255 for x in found.split("."))
+    if label == "NAME":  # a few capitalised words
+        words = found.split()
+        return len(words) <= 5 and all(w[0].isupper() and w[1:].islower() for w in words)
     return label != "ID" or len(digits) == 9
 
 
