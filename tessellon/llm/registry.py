@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, personal_data, secret_scan, toxicity
+from . import ann, mixing, near_dedup, personal_data, secret_scan, toxicity
 from .common import table
 
 
+def op2_permutation_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_personal_data(spark, sf_dir):
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-_QUERIES = (op3_personal_data, op5_mix, op6_simhash_near_dedup, op8_secret_scan, op10_toxicity)
+_QUERIES = (op2_permutation_ann, op3_personal_data, op5_mix, op6_simhash_near_dedup, op8_secret_scan, op10_toxicity)
 
 
 def queries() -> dict:
