@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, near_dedup, personal_data, secret_scan, toxicity
+from . import ann, fingerprints, mixing, near_dedup, personal_data, secret_scan, toxicity
 from .common import table
 
 
@@ -26,12 +26,16 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-_QUERIES = (op2_permutation_ann, op3_personal_data, op5_mix, op6_simhash_near_dedup, op8_secret_scan, op10_toxicity)
+_QUERIES = (op2_permutation_ann, op3_personal_data, op5_mix, op6_simhash_near_dedup, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
 
 
 def queries() -> dict:
