@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprints, mixing, near_dedup, personal_data, secret_scan, toxicity
+from . import ann, chat, fingerprints, mixing, near_dedup, personal_data, secret_scan, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-_QUERIES = (op2_permutation_ann, op3_personal_data, op5_mix, op6_simhash_near_dedup, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
+_QUERIES = (op2_permutation_ann, op3_personal_data, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
 
 
 def queries() -> dict:
@@ -43,4 +47,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_mix": mixing.ORACLE}
+    return {"op5_mix": mixing.ORACLE, "op7_chat_formatting": chat.ORACLE}
