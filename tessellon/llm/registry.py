@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, fingerprints, mixing, near_dedup, personal_data, secret_scan, toxicity
+from . import ann, chat, fingerprints, mixing, near_dedup, personal_data, pieces, secret_scan, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_personal_data(spark, sf_dir):
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-_QUERIES = (op2_permutation_ann, op3_personal_data, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
+_QUERIES = (op2_permutation_ann, op3_personal_data, op4_sentencepiece, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
 
 
 def queries() -> dict:
