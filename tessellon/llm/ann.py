@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, ship
 
 PIVOTS, POSTED, OPENED, KEEP, KEEP_LEAST = 128, 3, 48, 0.2, 64
 BLOCK, ASKED, EVERY, K = 8192, 2048, 50, 5
@@ -100,6 +100,7 @@ def _ranked(asked: pa.Table, posts: pa.Table, k: int, keep: float):
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS, opened: int = OPENED, keep: float = KEEP) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` nearest found."""
+    ship(vectors.sparkSession)
     rows = materialise(valid(vectors), "vectors")
     index = materialise(orders(rows, choose_pivots(rows, pivots)), "orders")
     posts = index.select("vec_id", "v", "place", F.explode(F.slice("near", 1, POSTED)).alias("pivot"))

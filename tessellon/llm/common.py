@@ -6,6 +6,8 @@ import gc
 import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessellon_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tessellon-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._tessellon_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound an Arrow batch by rows, since one row can hold a very long text."""
+    """Ship the code, and bound an Arrow batch by rows, since one row can hold a very long text."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 

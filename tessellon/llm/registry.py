@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, chat, fingerprints, mixing, near_dedup, personal_data, pieces, secret_scan, toxicity
+from . import ann, chat, fingerprints, mixing, near_dedup, personal_data, pieces, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_permutation_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-_QUERIES = (op2_permutation_ann, op3_personal_data, op4_sentencepiece, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
+_QUERIES = (op1_suffix_dedup, op2_permutation_ann, op3_personal_data, op4_sentencepiece, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
 
 
 def queries() -> dict:
