@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with a byte-pair model, by a relational lattice.
 
-A text is cut into words where no piece can span the cut: before a space mark and around line ends.
-The commonest words, ``DICTIONARY`` of them at most, are encoded as relations: every substring of
+A text is cut into words where no piece can span the cut: before a space mark, around line ends, and
+behind a run of Latin letters and digits if no piece goes on from one to anything else (``Model``
+looks). The commonest words, ``DICTIONARY`` of them at most, are encoded as relations: every substring of
 bounded length is exploded and joined to the piece table, the hits are a word's edges, grouped by
 word, and a higher-order ``aggregate`` folds the lattice from left to right. For this kind of model
 the best path is the one that merging reaches: of the edges that end at a place, exactly one follows
@@ -23,19 +24,24 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, tune
 
 MARK = "▁"
-DICTIONARY, WORD_CHARS, LATTICE_TASKS = 300_000, 48, 48
-WORDS = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
-_MEMO, _HEAP_FROM = 200_000, 64
+DICTIONARY, WORD_CHARS, LATTICE_TASKS = 100_000, 48, 48
+_LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+COARSE = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+FINE = rf"{MARK}?[{_LATIN}]+|\n|{MARK}*[^{_LATIN}{MARK}\n]*[{_LATIN}]*"
+#: A word that no task meets this often while it holds counts is not among the commonest.
+_LEAST, _HELD, _MEMO, _HEAP_FROM = 4, 150_000, 250_000, 64
 
 
 def default_model_path() -> str:
@@ -62,9 +68,12 @@ class Model:
         self.longest = max(map(len, self.id))
         if any("\n" in p and len(p) > 1 or MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces span words")
+        latin = re.compile(f"[{_LATIN}]")
+        spans = any(latin.match(a) and not latin.match(b) for p in self.id for a, b in zip(p, p[1:]))
+        self.words = COARSE if spans else FINE
         back = {i: b for b, i in self.byte_ids.items()}
         self.bytes = [bytes([back[i]]) if i in back else m.id_to_piece(i).replace(MARK, " ").encode() if m.id_to_piece(i) in self.id else b"" for i in ids]
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def parts(self, word: str) -> list[str]:
         """The word's pieces by merging: the best score first, the leftmost of equals."""
@@ -121,11 +130,12 @@ class Model:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a: merging both together leaves them as they are."""
-        if (out := self._fits.get((a, b))) is None:
-            if len(self._fits) > 2_000_000:
+        key = a << 32 | b
+        if (out := self._fits.get(key)) is None:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             x, y = self.pieces[a], self.pieces[b]
-            out = self._fits[a, b] = self.parts(x + y) == [x, y]
+            out = self._fits[key] = self.parts(x + y) == [x, y]
         return out
 
     def reached(self) -> list[int]:
@@ -133,18 +143,37 @@ class Model:
         return [i for p, i in self.id.items() if self.parts(p) == [p]]
 
 
-def marked(text: Column) -> Column:
+def marked(text: str | None) -> str:
     """The text as the model sees it: a mark before it, marks for spaces. Empty stays empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", "").otherwise(F.concat(F.lit(MARK), F.translate(text, " ", MARK)))
+    return MARK + text.replace(" ", MARK) if text else ""
 
 
-def common_words(docs: DataFrame, most: int = DICTIONARY, chars: int = WORD_CHARS) -> DataFrame:
+def _word_counts(words: str):
+    """Partial counts of words of bounded length, handed on when a task holds many."""
+
+    def run(batches):
+        find, held = re.compile(words).findall, Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.update(find(marked(text)))
+                if len(held) >= _HELD:
+                    yield _counted(held)
+                    held = Counter()
+        yield _counted(held)
+
+    return run
+
+
+def _counted(held: Counter) -> pa.RecordBatch:
+    rows = [(w, n) for w, n in held.items() if n >= _LEAST and 0 < len(w) <= WORD_CHARS and w[:2] != MARK * 2]
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+
+
+def common_words(docs: DataFrame, words: str, most: int = DICTIONARY) -> DataFrame:
     """word: the commonest, at most ``most``. The least count that is let in comes from a histogram
     of counts, so no task and no driver holds the words."""
-    words = docs.select(F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(WORDS), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.length("word") <= chars))
-    counts = materialise(counts.where(~F.col("word").startswith(MARK * 2)).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "words")
+    counts = docs.select("text").mapInArrow(_word_counts(words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "words")
     left, least = most, None
     for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # 16 steps for each doubling
         left -= r["count"]
@@ -215,52 +244,65 @@ def fold(lattices: DataFrame, model: Model) -> DataFrame:
 
 def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
     """Word -> its ids, four bytes each, of the commonest words: ``most`` at most, of bounded length."""
-    words = common_words(docs, most)
+    words = common_words(docs, model.words, most)
     got = fold(lattice(words, piece_table(docs.sparkSession, model), model.longest), model).where("ids IS NOT NULL").toArrow()
     return {w: np.array(x, np.int32).tobytes() for w, x in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True)}
 
 
-class Encoder:
+class Encoder(dict):
+    """Word -> ids as bytes: the dictionary's words, and a bounded memory of others, merged when they
+    come up."""
+
     def __init__(self, model: Model, known: dict[str, bytes]):
-        self.model, self.known, self.memo, self.words = model, known, {}, re.compile(WORDS)
-
-    def _rare(self, word: str) -> bytes:
-        if (out := self.memo.get(word)) is None:
-            out = np.array(self.model.encode_word(word), np.int32).tobytes()
-            if len(word) <= WORD_CHARS:
-                if len(self.memo) >= _MEMO:
-                    self.memo.clear()
-                self.memo[word] = out
+        super().__init__(known)
+        self.model, self.most, self.find = model, len(known) + _MEMO, re.compile(model.words).findall
+        self.known = known
+
+    def __missing__(self, word: str) -> bytes:
+        out = np.array(self.model.encode_word(word), np.int32).tobytes()
+        if len(word) <= WORD_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.known)
+            self[word] = out
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        known, rare = self.known.get, self._rare
-        return np.frombuffer(b"".join([known(w) or rare(w) for w in self.words.findall(MARK + text.replace(" ", MARK))]), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(marked(text)))), np.int32)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; ids of control pieces, or beyond the table, add nothing."""
-        table, n = self.model.bytes, self.model.size
-        out = b"".join([table[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
+        ids = ids[(ids >= 0) & (ids < self.model.size)]
+        out = b"".join(map(self.model.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return out[1:] if out[:1] == " " else out
 
 
+_AT_WORK: dict[str, Encoder] = {}
+
+
+def _encoder(shared, tag: str) -> Encoder:
+    """The worker's encoder: it outlives a task, and so does what it remembers."""
+    if tag not in _AT_WORK:
+        _AT_WORK.clear()
+        _AT_WORK[tag] = Encoder(*shared.value)
+    return _AT_WORK[tag]
+
+
 def encode(docs: DataFrame, model_path: str | None = None, most: int = DICTIONARY) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip of every row: the text's piece ids, and whether they decode
     to the text."""
     tune(docs.sparkSession)
     model = Model(model_path or default_model_path())
-    shared = docs.sparkSession.sparkContext.broadcast((model, dictionary(docs, model, most)))
+    shared, tag = docs.sparkSession.sparkContext.broadcast((model, dictionary(docs, model, most))), uuid.uuid4().hex
 
     def run(batches):
-        coder = Encoder(*shared.value)
+        coder = _encoder(shared, tag)
         for b in batches:
             ids, same = [], []
             for text in b.column(1).to_pylist():
                 x = coder.encode(text)
                 ids.append(x)
-                same.append(coder.decode(x.tolist()) == (text or ""))
+                same.append(coder.decode(x) == (text or ""))
             sizes = np.array([len(x) for x in ids], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32())
@@ -277,6 +319,6 @@ def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches):
         coder = Encoder(shared.value, {})
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
