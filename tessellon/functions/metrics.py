@@ -13,6 +13,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -31,6 +32,11 @@ def _ngrams(items: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(items, i, F.lit(n)), "\x1f"))).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, make) -> Column:
+    """``make(value)`` with the value worked out once, not once for each place that names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _clipped(a: Column, b: Column) -> Column:
     """How many of ``a`` can be matched with equal ones of ``b``, each used once."""
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
@@ -44,31 +50,32 @@ def words(text: Column) -> Column:
 def bleu4(reference: Column, hypothesis: Column) -> Column:
     """Sentence BLEU-4 on white-space words; one is added to both counts from bigrams on, where there
     are any; any precision of zero makes it zero."""
-    r, h = words(reference), words(hypothesis)
-    logs, zero = F.lit(0.0), F.lit(False)
-    for n in range(1, 5):
-        hn, rn = _ngrams(h, n), _ngrams(r, n)
+
+    def precision(r, h, n):
         add = 0 if n == 1 else 1
-        p = F.when(F.size(hn) > 0, (_clipped(hn, rn) + add) / (F.size(hn) + add)).otherwise(0.0)
-        zero = zero | (p == 0)
-        logs = logs + F.coalesce(F.log(F.when(p > 0, p)), F.lit(0.0)) / 4
-    brevity = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.size(h)))
-    return F.when((F.size(r) == 0) | (F.size(h) == 0) | zero, 0.0).otherwise(brevity * F.exp(logs))
+        return let(F.struct(_ngrams(h, n).alias("h"), _ngrams(r, n).alias("r")), lambda g: F.when(F.size(g["h"]) > 0, (_clipped(g["h"], g["r"]) + add) / (F.size(g["h"]) + add)).otherwise(0.0))
+
+    def score(t):
+        r, h = t["r"], t["h"]
+        brevity = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.size(h)))
+        mean = let(F.array(*[precision(r, h, n) for n in range(1, 5)]), lambda p: F.when(F.exists(p, lambda x: x == 0), 0.0).otherwise(F.exp(F.aggregate(p, F.lit(0.0), lambda a, x: a + F.log(x) / 4))))
+        return F.when((F.size(r) == 0) | (F.size(h) == 0), 0.0).otherwise(brevity * mean)
+
+    return let(F.struct(words(reference).alias("r"), words(hypothesis).alias("h")), score)
 
 
 def chrf(reference: Column, hypothesis: Column, most: int = 6) -> Column:
     """Mean F1 of character n-grams, over the lengths that both texts have."""
     chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
-    r, h = chars(reference), chars(hypothesis)
-    total, used = F.lit(0.0), F.lit(0)
-    for n in range(1, most + 1):
-        rn, hn = _ngrams(r, n), _ngrams(h, n)
-        both = (F.size(rn) > 0) & (F.size(hn) > 0)
-        overlap = _clipped(hn, rn)
-        f = 2.0 * overlap / (F.size(rn) + F.size(hn))  # the harmonic mean of precision and recall
-        total, used = total + F.when(both, f).otherwise(0.0), used + both.cast("int")
-    empty = (F.size(r) == 0) & (F.size(h) == 0)
-    return F.when(empty, 1.0).when(used == 0, 0.0).otherwise(total / F.greatest(used, F.lit(1)))
+
+    def f1(t, n):  # the harmonic mean of precision and recall; null where a side has no n-grams
+        return let(F.struct(_ngrams(t["r"], n).alias("r"), _ngrams(t["h"], n).alias("h")), lambda g: F.when((F.size(g["r"]) > 0) & (F.size(g["h"]) > 0), 2.0 * _clipped(g["h"], g["r"]) / (F.size(g["r"]) + F.size(g["h"]))))
+
+    def score(t):
+        mean = let(F.filter(F.array(*[f1(t, n) for n in range(1, most + 1)]), lambda x: x.isNotNull()), lambda fs: F.when(F.size(fs) == 0, 0.0).otherwise(F.aggregate(fs, F.lit(0.0), lambda a, x: a + x) / F.size(fs)))
+        return F.when((F.size(t["r"]) == 0) & (F.size(t["h"]) == 0), 1.0).otherwise(mean)
+
+    return let(F.struct(chars(reference).alias("r"), chars(hypothesis).alias("h")), score)
 
 
 def _bleu4(reference: str, hypothesis: str) -> float:
@@ -96,12 +103,12 @@ def _chrf(reference: str, hypothesis: str, most: int = 6) -> float:
     return sum(out) / len(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bleu4_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([_bleu4(r or "", h or "") for r, h in zip(reference, hypothesis, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chrf_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([_chrf(r or "", h or "") for r, h in zip(reference, hypothesis, strict=True)])
 

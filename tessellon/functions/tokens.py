@@ -44,10 +44,14 @@ def prefix_suffix(token_array: Column, ratio: float = 0.5, min_tokens: int = 32,
 
 
 def find_span(token_array: Column, wanted: Column) -> Column:
-    """0-based place of the first occurrence of ``wanted``; null without one."""
-    n, k = F.size(token_array), F.size(wanted)
-    starts = F.when((k > 0) & (n >= k), F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(starts, lambda i: F.slice(token_array, i + 1, k) == wanted), F.lit(0))
+    """0-based place of the first occurrence of ``wanted``; null without one. Both sides become
+    text between marks that tokens do not hold, so that one search of text finds it."""
+    mark = "\x1f"
+    whole = lambda a: F.concat(F.lit(mark), F.array_join(a, mark), F.lit(mark))
+    text = whole(token_array)
+    at = F.instr(text, whole(wanted))
+    before = F.substring(text, F.lit(1), at)
+    return F.when((F.size(wanted) > 0) & (at > 0), F.length(before) - F.length(F.replace(before, F.lit(mark), F.lit(""))) - 1)
 
 
 def expansion(kind: Column, content: Column) -> Column:

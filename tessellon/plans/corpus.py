@@ -69,13 +69,13 @@ def designated_repos(spark, sf_dir):
     return src.missing_repos(src.documents(spark, sf_dir), wanted)
 
 
-_META = "meta AS (SELECT * FROM (SELECT doc_id AS file_id, source AS repo FROM documents) WHERE file_id % 7 <> 0)"
+_META = "meta AS (SELECT doc_id AS file_id, source AS repo FROM documents WHERE lang <> 'fr')"
 
 
 @query(f"WITH {_META} SELECT d.doc_id AS file_id, coalesce(m.repo, 'unknown') AS repo FROM documents d LEFT JOIN meta m ON d.doc_id = m.file_id")
 def file_repo_left_join(spark, sf_dir):
     d = src.documents(spark, sf_dir).withColumn("filename", F.col("file_id"))
-    meta = d.where("file_id % 7 <> 0").select("filename", "repo")
+    meta = d.where("language <> 'fr'").select("filename", "repo")  # the metadata lacks a language
     return src.with_repo(d.select("file_id", "filename"), meta).select("file_id", "repo")
 
 
