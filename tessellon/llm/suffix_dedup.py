@@ -3,10 +3,10 @@ document of smaller id.
 
 Sorting every suffix of the corpus would move many times the corpus. Instead:
 
-1. Every window of 50 bytes names an anchor, the least of the hashed 24-byte strings in it, so equal
-   windows have equal anchors. Anchors are counted by least and largest document id; those of one
+1. Every window of 50 bytes names an anchor: the 32-byte string in it that the least hashed 13-byte
+   string points to, so equal windows have equal anchors. Anchors are counted by least and largest document id; those of one
    document only cannot take part in a repeat.
-2. The windows of one anchor occurrence in a row make a segment of 50 to 76 bytes. Anchors all of
+2. The windows of one anchor occurrence in a row make a segment of 50 to 68 bytes. Anchors all of
    whose segments are the same text are settled by the least id.
 3. The segments of the other anchors go to a partition by anchor, where a suffix array over them is
    built by two-stage sorting (``suffix_order``): suffixes smaller than their successors are sorted
@@ -34,45 +34,73 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tune
+from .common import drop, materialise, tune
 
-LENGTH, ANCHOR = 50, 24
-WINDOW = LENGTH - ANCHOR + 1
+LENGTH, ANCHOR, POINTER = 50, 32, 13
+STEP = LENGTH - ANCHOR + 1
+CHUNK_BYTES = 1 << 16
 FILTER_BITS, SLICES, BITS_A_KEY, LEAST_BITS_A_KEY = 1 << 29, 64, 16, 8
-HOT, TASK_BYTES = 512, 2 << 20
+HOT, TASK_BYTES = 4096, 2 << 20
 
 
 # ---- anchors ----
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor occurrence, and the first and last window that name it."""
+def _chunk_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    data, sizes = b"".join(texts), np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
     n = len(data)
+    none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    m = n - ANCHOR + 1
+        return none, none, none, none
+    m = n - POINTER + 1
     words = np.ndarray((n - 7,), np.uint64, data, strides=(1,))
-    h = words[:m] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h += words[8 : 8 + m]
-    h *= np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h += words[16 : 16 + m]
-    h *= np.uint64(0x165667B19E3779F9)
-    h ^= h >> np.uint64(32)
-    # The lowest bits make way for the place, so that a minimum tells where it is.
-    least = (h & ~np.uint64(63)) | (np.arange(m, dtype=np.uint64) & np.uint64(63))
-    span = 1
-    while 2 * span <= WINDOW:
+    least = words[:m] * np.uint64(0x9E3779B97F4A7C15)
+    least ^= least >> np.uint64(32)
+    least += words[POINTER - 8 : POINTER - 8 + m]
+    least *= np.uint64(0xC2B2AE3D27D4EB4F)
+    # The place in the low half: of equal hashes the leftmost is least, whatever stands around.
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(m, dtype=np.uint64)
+    width, span = LENGTH - POINTER + 1, 1
+    while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < WINDOW:
-        least = np.minimum(least[: len(least) - (WINDOW - span)], least[WINDOW - span :])
-    start = np.arange(len(least))
-    place = start + (((least & np.uint64(63)).astype(np.int64) - start) & 63)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:], [len(least)]]) - 1
-    return (least[first] >> np.uint64(6)).astype(np.int64), first, last
+    if span < width:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    whole = np.ones(n, bool)
+    for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):  # windows that leave their text
+        whole[max(end - size, end - LENGTH + 1) : end] = False
+    start = np.flatnonzero(whole[: len(least)])
+    if not len(start):
+        return none, none, none, none
+    off = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64) - start
+    place = start + off - STEP * (off >= STEP)
+    text = np.searchsorted(ends, start, side="right")
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    at, text = place[new], text[new]
+    h = words[at] * np.uint64(0x9E3779B97F4A7C15)
+    for i in (8, 16, 24):
+        h ^= h >> np.uint64(29)
+        h += words[at + i]
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    base = (ends - sizes)[text]
+    last = start[np.concatenate([new[1:], [len(start)]]) - 1]
+    return text, (h >> np.uint64(1)).astype(np.int64), start[new] - base, last - base
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each anchor occurrence: which text, its hash, the first and last window that name it."""
+    out, held, size, base = [], [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= CHUNK_BYTES or i + 1 == len(texts):
+            text, h, first, last = _chunk_anchors(held)
+            out.append((text + base, h, first, last))
+            held, size, base = [], 0, i + 1
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def _encoded(column) -> list[bytes]:
@@ -82,11 +110,10 @@ def _encoded(column) -> list[bytes]:
 def _anchor_ranges(batches):
     """h, lo, hi: the batch's anchors with their least and largest document id."""
     for b in batches:
-        ids = b.column(0).to_numpy()
-        found = [anchors(t)[0] for t in _encoded(b.column(1))]
-        h, d = np.concatenate(found), np.repeat(ids, [len(x) for x in found])
+        text, h, _, _ = anchors(_encoded(b.column(1)))
         if not len(h):
             continue
+        d = b.column(0).to_numpy()[text]
         by = np.argsort(h, kind="stable")
         h, d = h[by], d[by]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -141,46 +168,40 @@ def bit_filter(keys: DataFrame) -> BitFilter | None:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """id, key, text of rows that take part; key tells rows of one id apart by their text."""
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    """id, key, text of rows that take part. Where ids repeat, key tells their rows apart by text."""
+    key = F.xxhash64(F.coalesce("text", F.lit(""))) if _repeats(docs) else F.lit(0).cast("long")
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
-def occurrences(docs: DataFrame, keys: DataFrame, told: BitFilter | None, texts: bool) -> DataFrame:
+def occurrences(rows: DataFrame, keys: DataFrame, told: BitFilter | None, texts: bool) -> DataFrame:
     """h, sid, id of the segments of the anchors in ``keys``; with ``texts`` also their bytes (seg),
-    else key, first, last: where they lie. sid is a hash of the bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(told)
+    else key and at: 128 times the first window and the number of windows behind it. sid is a hash
+    of the bytes."""
+    shared = rows.sparkSession.sparkContext.broadcast(told)
 
     def run(batches):
         known = shared.value
         for b in batches:
-            ids, keys_ = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cols: list[list] = [[] for _ in range(6)]
-            for i, text in enumerate(_encoded(b.column(2))):
-                h, first, last = anchors(text)
-                if known is not None and len(h):
-                    on = known.holds(h)
-                    h, first, last = h[on], first[on], last[on]
-                if not len(h):
-                    continue
-                segs = [text[s:e] for s, e in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
-                cols[0].append(h)
-                cols[1].append(np.array([xxhash.xxh64_intdigest(s) for s in segs], np.uint64).view(np.int64))
-                cols[2].append(np.full(len(h), ids[i]))
-                if texts:
-                    cols[3] += segs
-                else:
-                    cols[3].append(np.full(len(h), keys_[i]))
-                    cols[4].append(first)
-                    cols[5].append(last)
-            if not cols[0]:
+            data = _encoded(b.column(2))
+            text, h, first, last = anchors(data)
+            if known is not None and len(h):
+                on = known.holds(h)
+                text, h, first, last = text[on], h[on], first[on], last[on]
+            if not len(h):
                 continue
-            flat = [pa.array(np.concatenate(c), pa.int64()) for c in cols[:3]]
+            segs = [data[i][s:e] for i, s, e in zip(text.tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)]
+            sid = np.array([xxhash.xxh64_intdigest(s) for s in segs], np.uint64).view(np.int64)
+            cols = [pa.array(h), pa.array(sid), pa.array(b.column(0).to_numpy()[text])]
             if texts:
-                yield pa.RecordBatch.from_arrays([*flat, pa.array(cols[3], pa.binary())], ["h", "sid", "id", "seg"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(segs, pa.binary())], ["h", "sid", "id", "seg"])
             else:
-                yield pa.RecordBatch.from_arrays([*flat, *(pa.array(np.concatenate(c), pa.int64()) for c in cols[3:])], ["h", "sid", "id", "key", "first", "last"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(b.column(1).to_numpy()[text]), pa.array(first * 128 + (last - first))], ["h", "sid", "id", "key", "at"])
 
-    out = _rows(docs).mapInArrow(run, "h long, sid long, id long, " + ("seg binary" if texts else "key long, first long, last long"))
+    out = rows.mapInArrow(run, "h long, sid long, id long, " + ("seg binary" if texts else "key long, at long"))
     return out if told is not None else out.join(keys.select("h"), "h", "left_semi")
 
 
@@ -310,15 +331,15 @@ def _sort_partition(batches):
 # ---- the operator ----
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
+def shared_anchors(rows: DataFrame) -> DataFrame:
     """h of anchors that documents of different ids hold."""
-    ranges = _rows(docs).select("id", "text").mapInArrow(_anchor_ranges, "h long, lo long, hi long")
+    ranges = rows.select("id", "text").mapInArrow(_anchor_ranges, "h long, lo long, hi long")
     return materialise(ranges.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h"), "anchors")
 
 
-def window_minima(docs: DataFrame, several: DataFrame) -> DataFrame:
+def window_minima(rows: DataFrame, several: DataFrame) -> DataFrame:
     """h, sid, mins: for each segment of the anchors in ``several``, window by window, the least id."""
-    segs = occurrences(docs, several, bit_filter(several), True).groupBy("h", "sid", "seg").agg(F.min("id").alias("lo"))
+    segs = occurrences(rows, several, bit_filter(several), True).groupBy("h", "sid", "seg").agg(F.min("id").alias("lo"))
     segs = materialise(segs.join(several.select("h", "n"), "h"), "segments")
     some = segs.where(F.col("n") <= HOT)
     size = some.agg(F.sum(F.length("seg"))).first()[0] or 0
@@ -329,68 +350,91 @@ def window_minima(docs: DataFrame, several: DataFrame) -> DataFrame:
     wide = wide.select("h", "sid", "lo", "j", F.xxhash64(cut).alias("x"), F.xxhash64(cut, F.lit(1)).alias("y"))
     least = wide.groupBy("h", "x", "y").agg(F.min("lo").alias("m"))
     hot = wide.join(least, ["h", "x", "y"]).groupBy("h", "sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda w: w["m"]).alias("mins"))
-    return materialise(sorted_.unionByName(hot), "minima")
+    out = materialise(sorted_.unionByName(hot), "minima")
+    drop(segs)
+    return out
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(rows: DataFrame) -> DataFrame:
     """id, key, spans: byte ranges (start, stop; they may overlap) to remove from each row."""
-    shared = shared_anchors(docs)
+    shared = shared_anchors(rows)
     told = bit_filter(shared)
-    found = occurrences(docs, shared, told, False)
+    found = occurrences(rows, shared, told, False)
     by_text = found.groupBy("h", "sid").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     kinds = by_text.groupBy("h").agg(F.count("*").alias("n"), F.max("sid").alias("sid"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     kinds = materialise(kinds, "kinds")
     several = kinds.where("n > 1").select("h", "n")
-    minima = window_minima(docs, several)
+    minima = window_minima(rows, several)
     same = kinds.where("n = 1").select("h", "sid", F.array("lo").alias("mins"), F.lit(True).alias("flat"))
     known = same.unionByName(minima.withColumn("flat", F.lit(False)))
-    hits = found.join(known, ["h", "sid"])
+    hits = found.join(known, ["h", "sid"]).where(F.array_min("mins") < F.col("id"))
     mins, mine = F.col("mins"), F.col("id")
-    # Runs of windows that occur in a smaller document, most often none or all of them.
-    begin = F.filter(F.sequence(F.lit(0), F.size(mins) - 1), lambda j: (F.get(mins, j) < mine) & ((j == 0) | (F.get(mins, j - 1) >= mine)))
-    end = F.filter(F.sequence(F.lit(0), F.size(mins) - 1), lambda j: (F.get(mins, j) < mine) & ((j == F.size(mins) - 1) | (F.get(mins, j + 1) >= mine)))
-    all_ = F.array(F.struct(F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    some = F.transform(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda r: F.struct((F.col("first") + r["b"]).alias("start"), (F.col("first") + r["e"] + LENGTH).alias("stop")))
-    spans = F.when(F.array_max(mins) < mine, all_).when(F.col("flat") | (F.array_min(mins) >= mine), none).otherwise(some)
-    rows = hits.select("id", "key", F.explode(spans).alias("s"))
-    return rows.groupBy("id", "key").agg(F.collect_list("s").alias("spans"))
-
-
-def _kept(text: bytes, spans) -> tuple[int, int, str]:
-    if not spans:
-        return 0, 0, hashlib.sha256(text).hexdigest()
-    mark = np.zeros(len(text) + 1, np.int32)
-    np.add.at(mark, [s["start"] for s in spans], 1)
-    np.add.at(mark, [s["stop"] for s in spans], -1)
-    gone = np.cumsum(mark[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
-
-
-def _kept_text(text: bytes, spans) -> bytes:
-    mark = np.zeros(len(text) + 1, np.int32)
-    for s in spans or ():
-        mark[s["start"]] += 1
-        mark[s["stop"]] -= 1
-    return np.frombuffer(text, np.uint8)[np.cumsum(mark[:-1]) <= 0].tobytes()
+    first, more = F.shiftright("at", 7), F.col("at").bitwiseAND(127)
+    # Runs of windows that occur in a smaller document: most often all of them.
+    places = F.sequence(F.lit(0), F.size(mins) - 1)
+    begin = F.filter(places, lambda j: (F.get(mins, j) < mine) & ((j == 0) | (F.get(mins, j - 1) >= mine)))
+    end = F.filter(places, lambda j: (F.get(mins, j) < mine) & ((j == F.size(mins) - 1) | (F.get(mins, j + 1) >= mine)))
+    all_ = F.array(F.struct(first.alias("start"), (first + more + LENGTH).alias("stop")))
+    some = F.transform(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda r: F.struct((first + r["b"]).alias("start"), (first + r["e"] + LENGTH).alias("stop")))
+    spans = F.when(F.array_max(mins) < mine, all_).otherwise(some)
+    out = hits.select("id", "key", F.explode(spans).alias("s"))
+    out = materialise(out.groupBy("id", "key").agg(F.collect_list("s").alias("spans")), "spans")
+    for done in (shared, kinds, minima):
+        drop(done)
+    return out
+
+
+def _runs(starts: np.ndarray, stops: np.ndarray) -> tuple[list[int], list[int]]:
+    """The union of ranges as maximal runs."""
+    if not len(starts):
+        return [], []
+    by = np.argsort(starts, kind="stable")
+    starts, reach = starts[by], np.maximum.accumulate(stops[by])
+    new = np.concatenate([[True], starts[1:] > reach[:-1]])
+    return starts[new].tolist(), reach[np.concatenate([new[1:], [True]])].tolist()
+
+
+def _cut(batch) -> list[tuple[int, int, int, bytes]]:
+    """Of each row (doc_id, packed, size, spans): bytes, bytes removed, runs removed, what is kept."""
+    codec = pa.Codec("zstd")
+    lists = batch.column(3)
+    flat, sizes = lists.flatten(), np.asarray(lists.value_lengths().fill_null(0))
+    ends = np.cumsum(sizes)
+    starts, stops = (np.asarray(flat.field(i)) for i in range(2))
+    out = []
+    for p, n, end, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
+        text = codec.decompress(p, n, asbytes=True) if n else b""
+        a, z = _runs(starts[end - k : end], stops[end - k : end])
+        kept = b"".join([text[i:j] for i, j in zip([0, *z], [*a, n], strict=True)]) if a else text
+        out.append((n, n - len(kept), len(a), kept))
+    return out
+
+
+def _packed(batches):
+    """Texts on their way to their spans travel compressed."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for b in batches:
+        texts = _encoded(b.column(3))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["doc_id", "id", "key", "size", "packed"])
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    return rows.join(removals(docs), ["id", "key"], "left").select("doc_id", "text", "spans")
+    """doc_id, packed, size, spans of every row."""
+    tune(docs.sparkSession)
+    spans = removals(_rows(docs))
+    key = F.xxhash64(F.coalesce("text", F.lit(""))) if _repeats(docs) else F.lit(0).cast("long")
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
+    rows = rows.mapInArrow(_packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, id long, key long, size long, packed binary")
+    return rows.join(spans, ["id", "key"], "left").select("doc_id", "packed", "size", "spans")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            texts = _encoded(b.column(1))
-            got = [_kept(t, s) for t, s in zip(texts, b.column(2).to_pylist(), strict=True)]
-            cols = list(zip(*got, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = list(zip(*((n, gone, runs, hashlib.sha256(kept).hexdigest()) for n, gone, runs, kept in _cut(b)), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _joined(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -398,11 +442,10 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text with the repeats cut out. Where a cut leaves part of a character, the part is
     replaced."""
-    tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            out = [_kept_text(t, s).decode("utf-8", "replace") for t, s in zip(_encoded(b.column(1)), b.column(2).to_pylist(), strict=True)]
+            out = [kept.decode("utf-8", "replace") for _, _, _, kept in _cut(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return _joined(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
