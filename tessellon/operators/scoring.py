@@ -28,9 +28,9 @@ def occurrences(compressed: DataFrame, text: str = "compressed") -> DataFrame:
 
 def savings(uses: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Each use with the tokens that it saves: a pattern's less one; a template's, filled, less two
-    and its arguments'. A dictionary is bounded, and joined as such."""
+    and its arguments', commas included. A dictionary is bounded, and joined as such."""
     known = dictionary.select("macro", "kind", "content")
-    saved = F.when(F.col("kind") == "M", token_count(F.col("content")) - 1).otherwise(token_count(expand_template(F.col("content"), F.col("args"))) - 2 - F.aggregate("args", F.lit(0), lambda a, x: a + token_count(x)))
+    saved = F.when(F.col("kind") == "M", token_count(F.col("content")) - 1).otherwise(token_count(expand_template(F.col("content"), F.col("args"))) - 2 - token_count(F.array_join("args", ",")))
     return uses.join(F.broadcast(known), "macro").withColumn("saved", saved)
 
 

@@ -1,4 +1,125 @@
-"""Queries, to come."""
+"""Queries on templates and lexers. ``documents`` is prose, so its templates are of a small language
+of phrases; code languages are run on small files kept here."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessellon.languages import available_languages, get_language
+from tessellon.languages.base import Language, words
+from tessellon.operators import build, lexer, templates
+from tessellon.operators.segments import range_stats
+from tessellon.plans.corpus import CORPUS
+from tessellon.plans.mining import TOKENS
+from tessellon.session import ship
+from tessellon.sources.corpus import documents
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+#: Two words around a linking one: the linking words stay, the others are slots.
+PROSE = Language(name="prose", extension=".txt", comments=(), strings=(r"\x00",), candidates=(r"[a-z]+ (?:the|of|and) [a-z]+",), seeds=(), structural=words("the of and"), ident=r"[a-z]+", type_first=False)
+
+_USES = rf"""{CORPUS}, found AS (SELECT file_id, repo, unnest(regexp_extract_all(content, '[a-z]+ (?:the|of|and) [a-z]+')) AS m FROM corpus),
+parts AS (SELECT *, string_split(m, ' ') AS w FROM found WHERE length(m) >= 8),
+slotted AS (
+  SELECT file_id, repo, w, w[1] IN ('the', 'of', 'and') AS fa, w[3] IN ('the', 'of', 'and') AS fb FROM parts),
+uses AS (
+  SELECT file_id, repo, CASE WHEN fa THEN w[1] ELSE '{{0}}' END || ' ' || w[2] || ' ' || CASE WHEN fb THEN w[3] WHEN fa OR w[1] = w[3] THEN '{{0}}' ELSE '{{1}}' END AS template,
+    CASE WHEN fa THEN [w[3]] WHEN fb OR w[1] = w[3] THEN [w[1]] ELSE [w[1], w[3]] END AS args FROM slotted WHERE NOT (fa AND fb)),
+census AS (SELECT template, count(DISTINCT file_id) AS frequency, count(DISTINCT repo) AS repo_count FROM uses GROUP BY 1),
+idents AS (SELECT ident, count(*) AS n, {TOKENS.format("ident")} AS tokens FROM (SELECT unnest(args) AS ident FROM uses) GROUP BY 1),
+mean AS (SELECT sum(tokens * n) / sum(n)::DOUBLE AS mean FROM idents),
+proxy AS (SELECT ident AS proxy FROM idents, mean ORDER BY abs(tokens - mean), ident LIMIT 1)"""
+
+
+@query(f"WITH {_USES} SELECT template, frequency, repo_count FROM census")
+def template_census(spark, sf_dir):
+    return templates.template_census(templates.template_uses(documents(spark, sf_dir), PROSE))
+
+
+@query(f"WITH {_USES} SELECT ident, n, tokens::INTEGER AS tokens FROM idents")
+def identifier_census(spark, sf_dir):
+    return templates.identifier_census(templates.template_uses(documents(spark, sf_dir), PROSE))
+
+
+@query(f"WITH {_USES} SELECT proxy, round(mean, 9) AS mean_tokens FROM proxy, mean")
+def ident_proxy(spark, sf_dir):
+    return templates.identifier_proxy(identifier_census(spark, sf_dir)).withColumn("mean_tokens", F.round("mean_tokens", 9))
+
+
+_SLOTS = "len(list_distinct(regexp_extract_all(template, '\\{(\\d+)\\}', 1)))"
+_FILLED = "replace(replace(template, '{0}', proxy), '{1}', proxy)"
+
+
+@query(
+    f"""WITH {_USES}, s AS (SELECT *, {_SLOTS} AS slots FROM census, proxy WHERE frequency >= 30 AND repo_count >= 2)
+SELECT template, frequency, slots::INTEGER AS slot_count, CAST(frequency * greatest({TOKENS.format(_FILLED)} - 2 - {TOKENS.format("CASE WHEN slots > 1 THEN proxy || ',' || proxy ELSE proxy END")}, 0) AS BIGINT) AS score, repo_count FROM s WHERE slots BETWEEN 1 AND 6"""
+)
+def mine_templates(spark, sf_dir):
+    return templates.mine_templates(documents(spark, sf_dir), PROSE)
+
+
+#: name -> a file of the language, with documentation, comments, strings and repeated statements.
+FILES = {
+    "csharp": 'using System;\n/// <summary>Adds.</summary>\npublic class A {\n  // no\n  private int _a; string s = "public class B"; char c = \'x\';\n  public A(int a) { this._a = a; }\n  public int Get() { return _a; } /* no */\n}\n',
+    "go": 'package main\nimport "fmt"\n// comment\nfunc main() {\n\terr := run(`raw "x"`)\n\tif err != nil {\n\t\tfmt.Println("no", err)\n\t}\n\treturn\n}\n',
+    "java": 'package a.b;\nimport java.util.List;\n/** Doc. */\npublic class A {\n  /* no */ private int a; // no\n  String s = "x // y";\n  A(int a) { this.a = a; }\n}\n',
+    "python": '"""Module doc."""\nimport os\n\ndef f(self, a):\n    \'\'\'Doc.\'\'\'\n    self._a = a  # no\n    return "x # y" + \'\'\'not doc\'\'\'\n',
+    "typescript": "import { a } from 'b';\n/** Doc. */\nexport const f = async (x: string) => {\n  // no\n  const y = await g(`t ${x}`);\n  return y;\n};\n/** @license x */\n",
+}
+
+
+def _code(spark):
+    rows = [(i, f"repo{i}", name, text) for i, (name, text) in enumerate(sorted(FILES.items()))]
+    return spark.createDataFrame(rows, "file_id long, repo string, language string, content string")
+
+
+@query()
+def safe_zones(spark, sf_dir):
+    """file_id, language, safe characters and their share, for each language's file."""
+    ship(spark)
+    parts = [_code(spark).where(F.col("language") == n).withColumn("safe", lexer.safe_ranges_udf(n)("content")) for n in available_languages()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    s = range_stats(F.col("safe"), F.length("content"))
+    return rows.select("file_id", "language", F.size("safe").alias("n_ranges"), s["safe_bytes"].alias("safe_chars"), s["safe_pct"].alias("safe_pct"))
+
+
+@query()
+def code_templates(spark, sf_dir):
+    """language, template, args from expressions and statements of each language's file."""
+    rows = None
+    for n in available_languages():
+        own = _code(spark).where(F.col("language") == n)
+        for statements in (False, True):
+            part = templates.template_uses(own, n, statements).select(F.lit(n).alias("language"), F.lit(statements).alias("statements"), "template", F.array_join("args", ",").alias("args"))
+            rows = part if rows is None else rows.unionByName(part)
+    return rows.distinct()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(get_language(n).seeds)}, {len(get_language(n).candidates)})" for n in available_languages()) + ") t(language, n_seeds, n_candidates)")
+def languages(spark, sf_dir):
+    rows = [(n, len(get_language(n).seeds), len(get_language(n).candidates)) for n in available_languages()]
+    return spark.createDataFrame(rows, "language string, n_seeds int, n_candidates int")
+
+
+@query()
+def build_dictionary(spark, sf_dir):
+    """Every channel on ``documents``, scored and rebuilt: kind, ord, content, macro, slots, category."""
+    from tessellon import languages as registry
+
+    registry.register(PROSE)
+    return build.build_dictionary(documents(spark, sf_dir), "prose", use_statements=False)[0]

@@ -77,7 +77,7 @@ _USES = rf"""{_COMP}, uses AS (SELECT file_id, repo, unnest(regexp_extract_all(c
 parsed AS (SELECT file_id, repo, '<|' || regexp_extract(used, '^<\|([MT]\d+)', 1) || '|>' AS macro, string_split(regexp_extract(used, '^<\|T\d+:([^|]*)\|>$', 1), ',') AS args FROM uses),
 saved AS (
   SELECT p.*, d.kind, d.content, CASE WHEN d.kind = 'M' THEN {TOKENS.format("d.content")} - 1
-    ELSE {TOKENS.format("replace(replace(d.content, '{0}', args[1]), '{1}', coalesce(args[2], ''))")} - 2 - {TOKENS.format("args[1]")} - CASE WHEN d.slots > 1 THEN {TOKENS.format("args[2]")} ELSE 0 END END AS saved
+    ELSE {TOKENS.format("replace(replace(d.content, '{0}', args[1]), '{1}', coalesce(args[2], ''))")} - 2 - {TOKENS.format("array_to_string(args, ',')")} END AS saved
   FROM parsed p JOIN dictionary d ON p.macro = d.macro)"""
 _SCORES = f"""{_USES}, files AS (SELECT repo, count(*) AS repo_files FROM corpus GROUP BY 1),
 per_repo AS (SELECT macro, repo, sum(saved) AS saved, count(DISTINCT file_id) AS files FROM saved WHERE saved > 0 GROUP BY ALL),
