@@ -103,9 +103,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it. Texts are not shuffled: the
     table of thresholds has one row per source."""
-    at = thresholds(sized(docs), weights, share, cap).select(F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("below").alias("_below"))
-    times = (F.col("_copies") + (doc_hash(docs["doc_id"]) < F.col("_below")).cast("long")).cast("int")
-    return docs.join(at, docs["source"].eqNullSafe(at["_s"])).withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    at = thresholds(sized(docs), weights, share, cap).select(F.col("source").alias("__mix_source"), "copies", "below").toDF("__mix_source", "__mix_copies", "__mix_below")
+    times = (F.col("__mix_copies") + (doc_hash(docs["doc_id"]) < F.col("__mix_below")).cast("long")).cast("int")
+    rows = docs.join(at, docs["source"].eqNullSafe(at["__mix_source"])).withColumn("__mix_times", times)
+    rows = rows.where((F.col("__mix_times") > 0) & docs["text"].rlike(r"[^\x20\x09-\x0D]"))  # documents of size 0 take nothing
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*docs.columns)
 
 
 ORACLE = r"""

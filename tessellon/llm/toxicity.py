@@ -7,8 +7,8 @@ that an insult beside a group mention can count for more than both alone. Words
 held add nothing.
 
 Training: labelled rows with crc32(doc_id) mod 5 <> 0, at most ``SAMPLE`` of them, those of least id
-hash (documented bound; it does not grow with the input). The ``TERMS`` places that differ most
-between the classes take part. Labels, language, source and id are never inputs of a score.
+hash (documented bound; it does not grow with the input). Places take part whose shares
+differ between the classes by ``LEAST_Z`` standard errors, the ``TERMS`` most telling at most. Labels, language, source and id are never inputs of a score.
 
 Defined results: a null text counts as empty and scores the model's bias; repeated rows each get a
 row; a null id counts as held out; repeated labels of an id count once, toxic if any is; null labels
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-SAMPLE, TERMS, FACTORS, PLACES = 16_000, 1024, 8, 1 << 20
+SAMPLE, TERMS, FACTORS, PLACES, STEPS = 16_000, 1024, 8, 1 << 20, 3000
+LEAST_SEEN, LEAST_Z = 5, 4.0
 FOLDS, HELD_OUT = 5, 0
 _MARKS = ".,;:!?\"'()[]{}<>|*_-#$&~`"
 _MEMO = 300_000
@@ -93,8 +94,9 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(toxic: np.ndarray, terms: list[np.ndarray], rounds: int = 25, batch: int = 256, rate: float = 0.02, penalty: float = 1e-4) -> Machine:
-    """Logistic loss by Adam over shuffled batches; the same rows give the same machine."""
+def fit(toxic: np.ndarray, terms: list[np.ndarray], rounds: int = 25, batch: int = 256, rate: float = 0.05, penalty: float = 1e-4) -> Machine:
+    """Logistic loss by Adam over shuffled batches; the same rows give the same machine. Few rows are
+    gone through more often, so that there are ``STEPS`` steps at least."""
     n, y = len(toxic), np.asarray(toxic, np.float32)
     pos = float(y.sum())
     prior = (pos + 0.5) / (n + 2)
@@ -107,8 +109,9 @@ def fit(toxic: np.ndarray, terms: list[np.ndarray], rounds: int = 25, batch: int
     in_pos = np.bincount(flat[y[row] > 0], minlength=PLACES)
     in_all = np.bincount(flat, minlength=PLACES)
     p1, p0 = in_pos / pos, (in_all - in_pos) / (n - pos)
-    gap = np.abs(p1 - p0) / np.sqrt((in_all + 5) / n)
-    gap[in_all < 5] = 0
+    p = in_all / n
+    gap = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / pos + 1 / (n - pos)))
+    gap[(in_all < LEAST_SEEN) | (gap < LEAST_Z)] = 0
     places = np.lexsort((np.arange(PLACES), -gap))[:TERMS]
     places = places[gap[places] > 0]
     if not len(places):
@@ -121,7 +124,7 @@ def fit(toxic: np.ndarray, terms: list[np.ndarray], rounds: int = 25, batch: int
     dice = np.random.default_rng(7)
     params = [np.array([bias], np.float32), np.zeros(len(places), np.float32), dice.normal(0, 0.01, (len(places), FACTORS)).astype(np.float32)]
     m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-STEPS // -(-n // batch)))):
         order = dice.permutation(n)
         for i in range(0, n, batch):
             rows = order[i : i + batch]
@@ -144,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     tune(docs.sparkSession)
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), (F.col("_toxic") > 0).cast("int").alias("_toxic"))
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("_toxic", "text")  # at most ``sample`` rows are sent
+    texts = docs.select("doc_id", "text")
+    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("_toxic", "text")  # at most ``sample`` rows are sent
     got = rows.mapInArrow(_sampled_terms, "toxic int, terms binary").toArrow()
     if not got.num_rows:
         return fit(np.zeros(0), [])
