@@ -21,13 +21,12 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> D
     """path, repo (first folder under ``root``), content of the files with one of the extensions.
     Bytes that are not UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.substring_index("path", base, -1)
+    rel = F.substring_index("path", root.rstrip("/").rsplit(":", 1)[-1] + "/", -1)
     wanted = [rel.endswith(e) for e in extensions]
     keep = wanted[0]
     for w in wanted[1:]:
         keep = keep | w
-    return raw.where(keep).select(rel.alias("path"), "content").select("path", F.split("path", "/")[0].alias("repo"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.where(keep).select(rel.alias("path"), "content").select("path", F.split("path", "/")[0].alias("repo"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def extract_files(files: DataFrame, extension: str = ".py", min_length: int = 100, max_length: int = 50_000, max_files: int | None = None, skip: tuple[str, ...] = (), designated: list[str] | None = None) -> DataFrame:
