@@ -348,10 +348,12 @@ def window_minima(rows: DataFrame, several: DataFrame) -> DataFrame:
     wide = segs.where(F.col("n") > HOT).select("h", "sid", "lo", "seg", F.explode(F.sequence(F.lit(0), F.length("seg") - LENGTH)).alias("j"))
     cut = F.substring("seg", F.col("j") + 1, F.lit(LENGTH))
     wide = wide.select("h", "sid", "lo", "j", F.xxhash64(cut).alias("x"), F.xxhash64(cut, F.lit(1)).alias("y"))
-    least = wide.groupBy("h", "x", "y").agg(F.min("lo").alias("m"))
+    # Written first: the join below is then dealt anew on both sides, and a common window's rows can be split.
+    least = materialise(wide.groupBy("h", "x", "y").agg(F.min("lo").alias("m")), "windows")
     hot = wide.join(least, ["h", "x", "y"]).groupBy("h", "sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda w: w["m"]).alias("mins"))
     out = materialise(sorted_.unionByName(hot), "minima")
     drop(segs)
+    drop(least)
     return out
 
 
