@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessellon.functions.text import is_word_boundary_end, is_word_boundary_start
@@ -131,26 +132,26 @@ gaps AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY file_id ORDER BY start,
 safe AS (SELECT file_id, CAST(seen AS INTEGER) AS start, CAST(start AS INTEGER) AS stop FROM gaps WHERE start > seen)"""
 
 
+def _unsafe_rows(spark, sf_dir):
+    """file_id, start, end, and the files with their total."""
+    d = src.documents(spark, sf_dir).select("file_id", "content", F.length("content").alias("total"))
+    words = d.select("file_id", "total", F.posexplode(F.split("content", " ")).alias("k", "w"))
+    order = Window.partitionBy("file_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = words.withColumn("start", F.coalesce(F.sum(F.length("w") + 1).over(order), F.lit(0)).cast("int"))
+    rows = placed.where(F.col("w").rlike("^[A-Z]")).select("file_id", "start", F.least(F.col("start") + F.length("w") + 3, F.col("total")).alias("end"))
+    return rows, d.select("file_id", "total")
+
+
 def _unsafe(spark, sf_dir):
-    d = src.documents(spark, sf_dir)
-    parts = F.split("content", " ")
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda a, w: F.struct(
-            (a["at"] + F.length(w) + 1).alias("at"),
-            F.when(w.rlike("^[A-Z]"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(w) + 3).alias("end"))))).otherwise(a["out"]).alias("out"),
-        ),
-    )["out"]
-    total = F.length("content")
-    return d.select("file_id", total.alias("total"), F.transform(placed, lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], total).alias("end"))).alias("unsafe"))
+    """file_id, total, unsafe: the ranges as one array for each file."""
+    rows, totals = _unsafe_rows(spark, sf_dir)
+    arrays = rows.groupBy("file_id").agg(F.collect_list(F.struct("start", "end")).alias("unsafe"))
+    return totals.join(arrays, "file_id", "left").select("file_id", "total", F.coalesce("unsafe", F.array().cast("array<struct<start:int,end:int>>")).alias("unsafe"))
 
 
 @query(f"WITH {_RANGES} SELECT file_id, start, stop FROM safe")
 def invert_ranges(spark, sf_dir):
-    rows = _unsafe(spark, sf_dir)
-    flat = rows.select("file_id", F.explode("unsafe").alias("r")).select("file_id", "r.start", "r.end")
-    out = segments.invert_range_rows(flat, rows.select("file_id", "total"))
+    out = segments.invert_range_rows(*_unsafe_rows(spark, sf_dir))
     return out.select("file_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("stop"))
 
 

@@ -150,7 +150,7 @@ _TOK = f"{CORPUS}, tok AS (SELECT file_id, regexp_extract_all(content, '{TOKEN}'
 SELECT file_id, n AS n_prefix, (len(t) - n)::INTEGER AS n_suffix, md5(array_to_string(list_slice(t, 1, n), '')) AS prefix, md5(array_to_string(list_slice(t, n + 1, len(t)), '')) AS suffix FROM cut WHERE n >= 1 AND n < len(t)"""
 )
 def prefix_suffix(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("file_id", tokens.prefix_suffix(tokens.tokens(F.col("content"))).alias("s")).where("s IS NOT NULL")
+    rows = documents(spark, sf_dir).select("file_id", metrics.let(tokens.tokens(F.col("content")), lambda t: tokens.prefix_suffix(t)).alias("s")).where("s IS NOT NULL")
     digest = lambda c: F.md5(F.array_join(c, "").cast("binary"))
     return rows.select("file_id", F.size("s.prefix").alias("n_prefix"), F.size("s.suffix").alias("n_suffix"), digest(F.col("s.prefix")).alias("prefix"), digest(F.col("s.suffix")).alias("suffix"))
 

@@ -13,10 +13,17 @@ from tessellon import schema
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
     return d.select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("unknown")).alias("repo"), F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that arrives in fewer partitions than there are cores, dealt out evenly. Larger tables
+    are left as they are: they have more splits than cores, and dealing them out would move them."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
     """path, repo (first folder under ``root``), content of the files with one of the extensions.
     Bytes that are not UTF-8 are replaced."""
