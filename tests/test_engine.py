@@ -394,3 +394,25 @@ def test_build_dictionary_round_trips(spark):
     out = build.compress_corpus(c, entries, "csharp").withColumn("back", codec.decompressor(entries)("compressed")).collect()
     assert all(r.back == r.content and len(r.compressed) < len(r.content) for r in out)
     assert all("// get; set;" in r.compressed for r in out)
+
+
+def test_command_line(spark, tmp_path):
+    from tessellon.__main__ import main
+
+    rows = [(i, f"import os\nclass A{i}:\n    def __init__(self, a):\n        self.a{i} = a\n        raise ValueError('x')\n" * 3, f"r{i % 3}", "python") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/docs/documents.parquet")
+    base = ["--documents", f"{tmp_path}/docs", "--language", "python"]
+    main(["mine", *base, "--out", f"{tmp_path}/d", "--scores", f"{tmp_path}/s", "--min-frequency", "10", "--no-statements"], spark)
+    entries = src.load_dictionary(spark, f"{tmp_path}/d")
+    assert entries.count() > 0
+    main(["refilter", "--scores", f"{tmp_path}/s", "--max-entries", "2", "--out", f"{tmp_path}/d2"], spark)
+    assert src.load_dictionary(spark, f"{tmp_path}/d2").count() == 2
+    main(["merge", f"{tmp_path}/d", f"{tmp_path}/d2", "--out", f"{tmp_path}/d3"], spark)
+    assert src.load_dictionary(spark, f"{tmp_path}/d3").count() == entries.count()
+    main(["compress", *base, "--dictionary", f"{tmp_path}/d", "--out", f"{tmp_path}/c"], spark)
+    main(["decompress", f"{tmp_path}/c", "--dictionary", f"{tmp_path}/d", "--out", f"{tmp_path}/back"], spark)
+    assert {r.file_id: r.text for r in spark.read.parquet(f"{tmp_path}/back").collect()} == {i: t for i, t, _, _ in rows}
+    main(["prepare", *base, "--dictionary", f"{tmp_path}/d", "--eval-repos", "r1", "--out", f"{tmp_path}/p"], spark)
+    assert src.read_jsonl(spark, f"{tmp_path}/p/eval").count() == 10 and src.read_jsonl(spark, f"{tmp_path}/p/train").count() == 20
+    main(["measure", *base, "--dictionary", f"{tmp_path}/d"], spark)
+    main(["repos", *base], spark)
