@@ -71,6 +71,15 @@ def _looks_slotted(text: str) -> bool:
     return re.search(r"\{\d+\}", text) is not None
 
 
+def identifiers_in_range(text: str, start: int, end: int, language: Language) -> list[tuple[str, int, int, bool]]:
+    """(name, start, end, whether it would be a slot) of the identifiers wholly inside [start, end)."""
+    out = []
+    for m in re.finditer(language.ident, text):
+        if m.start() >= start and m.end() <= end and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_$")):
+            out.append((m[0], *m.span(), should_normalize(text, *m.span(), language)))
+    return out
+
+
 def expression_candidates(text: str, language: Language) -> list[tuple[str, list[str]]]:
     out = []
     for start, end in safe_ranges(text, language):

@@ -106,6 +106,11 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.RECORD).json(path).where(F.col("text").isNotNull())
 
 
+def write_result(row: DataFrame, path: str) -> None:
+    """A result of one row, or of a few, as one JSON file."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def save_dictionary(dictionary: DataFrame, path: str) -> None:
     """Rows (kind, ord, content, macro, slots, category) as one nested JSON document."""
     parts = dictionary.agg(

@@ -374,6 +374,11 @@ def test_normalize(code, want):
     assert templates.normalize(code, get_language("csharp")) == want
 
 
+def test_identifiers_in_range():
+    got = templates.identifiers_in_range("if (a == bb) return c;", 4, 11, get_language("csharp"))
+    assert got == [("a", 4, 5, True), ("bb", 9, 11, True)]
+
+
 def test_template_mining(spark):
     code = ["class A { void F() { this._a = a; } }", "class B { void G() { this._b = b; } }", 'class C { string s = "this._c = c;"; }']
     uses = templates.template_uses(corpus(spark, code), "csharp", statements=True)
