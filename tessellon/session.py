@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tessellon") -> SparkSession:
@@ -24,6 +24,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tes
     )
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder of ``spark.checkpoint.dir`` (a temporary one only where
+    none is set): a later read meets the same partitions, and lost executors lose nothing."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessellon-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session: they need not have it installed."""
     sc = spark.sparkContext

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellon import schema
+from tessellon.session import settle
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,21 +37,31 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> D
     return raw.where(keep).select(rel.alias("path"), "content").select("path", F.split("path", "/")[0].alias("repo"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with file_id, counting from 0 in the given order. The order is made by ranges, so a
+    repo with a third of all files is dealt out like any other; a running sum over the partitions'
+    counts tells each where it starts."""
+    placed = settle(rows.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")  # as many rows as partitions
+    return out.select(*rows.columns, (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("file_id"))
+
+
 def extract_files(files: DataFrame, extension: str = ".py", min_length: int = 100, max_length: int = 50_000, max_files: int | None = None, skip: tuple[str, ...] = (), designated: list[str] | None = None) -> DataFrame:
     """The files that count, numbered in order of (repo, path): file_id, filename, path, repo, content.
 
     A file goes if its lower-cased path holds a skip part, its length is outside the range, or its
-    repo is not designated. Numbers come from per-repo counts and a running sum over repos, so no task
-    sorts the whole corpus."""
+    repo is not designated. Paths are unique within a repo."""
     rows = files.where(F.length("content").between(min_length, max_length))
     for part in skip:
         rows = rows.where(~F.contains(F.lower("path"), F.lit(part.lower())))
     if designated is not None:
         rows = rows.where(F.col("repo").isin(designated))
-    per = rows.groupBy("repo").agg(F.count("*").alias("n"))
-    before = Window.orderBy("repo").rowsBetween(Window.unboundedPreceding, -1)  # one row a repo
-    base = per.select("repo", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    out = rows.join(base, "repo").withColumn("file_id", F.col("base") + F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1)
+    numbers = numbered(rows.select("repo", "path"), "repo", "path")
+    out = rows.join(numbers, ["repo", "path"])
     if max_files is not None:
         out = out.where(F.col("file_id") < max_files)
     return out.select("file_id", F.concat(F.lpad(F.col("file_id").cast("string"), 6, "0"), F.lit(extension)).alias("filename"), "path", "repo", "content")
