@@ -16,7 +16,8 @@ Sorting every suffix of the corpus would move many times the corpus. Instead:
 
 Which anchors matter is told to the scans by bit filters of bounded size (``FILTER_BITS``); they may
 let more through, never less, and what they let through is settled by the joins. Where there are too
-many anchors for a filter, all are emitted and a semi-join takes its place. An anchor with more than
+many anchors for a filter, each document is told its own: (anchor, document) pairs are semi-joined
+with the anchors that matter and go to their document as a list (``_told_by_list``). An anchor with more than
 ``HOT`` different segments is not sorted in one task: its windows are grouped by 128-bit hash.
 
 Defined results: a null text is empty, a text under 50 bytes keeps all; rows with a null id take no
@@ -40,7 +41,7 @@ LENGTH, ANCHOR, POINTER = 50, 32, 13
 STEP = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 16
 FILTER_BITS, SLICES, BITS_A_KEY, LEAST_BITS_A_KEY = 1 << 29, 64, 16, 8
-HOT, TASK_BYTES = 4096, 2 << 20
+HOT, TASK_BYTES = 4096, 1 << 20
 
 
 # ---- anchors ----
@@ -177,6 +178,35 @@ def _repeats(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
+def _anchor_pairs(batches):
+    """h, id, key: each text's anchors, once."""
+    for b in batches:
+        text, h, _, _ = anchors(_encoded(b.column(2)))
+        if len(h):
+            by = np.lexsort((h, text))
+            text, h = text[by], h[by]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), *(pa.array(b.column(i).to_numpy()[text[new]]) for i in range(2))], ["h", "id", "key"])
+
+
+def _told_by_list(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that hold anchors of ``keys``, with those as a list. Rows that share id and key share
+    their text."""
+    pairs = rows.mapInArrow(_anchor_pairs, "h long, id long, key long").join(keys.select("h"), "h", "left_semi")
+    lists = pairs.groupBy("id", "key").agg(F.collect_set("h").alias("hs"))
+    return rows.join(lists, ["id", "key"]).select("id", "key", "text", "hs")
+
+
+def _listed(column, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which anchors are in their text's list."""
+    on = np.zeros(len(h), bool)
+    cuts = np.searchsorted(text, np.arange(len(column) + 1))
+    for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if z > a:
+            on[a:z] = np.isin(h[a:z], column[i].values.to_numpy())
+    return on
+
+
 def occurrences(rows: DataFrame, keys: DataFrame, told: BitFilter | None, texts: bool) -> DataFrame:
     """h, sid, id of the segments of the anchors in ``keys``; with ``texts`` also their bytes (seg),
     else key and at: 128 times the first window and the number of windows behind it. sid is a hash
@@ -188,8 +218,8 @@ def occurrences(rows: DataFrame, keys: DataFrame, told: BitFilter | None, texts:
         for b in batches:
             data = _encoded(b.column(2))
             text, h, first, last = anchors(data)
-            if known is not None and len(h):
-                on = known.holds(h)
+            if len(h):
+                on = known.holds(h) if known is not None else _listed(b.column(3), text, h)
                 text, h, first, last = text[on], h[on], first[on], last[on]
             if not len(h):
                 continue
@@ -201,8 +231,8 @@ def occurrences(rows: DataFrame, keys: DataFrame, told: BitFilter | None, texts:
             else:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(b.column(1).to_numpy()[text]), pa.array(first * 128 + (last - first))], ["h", "sid", "id", "key", "at"])
 
-    out = rows.mapInArrow(run, "h long, sid long, id long, " + ("seg binary" if texts else "key long, at long"))
-    return out if told is not None else out.join(keys.select("h"), "h", "left_semi")
+    rows = rows if told is not None else _told_by_list(rows, keys)
+    return rows.mapInArrow(run, "h long, sid long, id long, " + ("seg binary" if texts else "key long, at long"))
 
 
 # ---- the suffix array ----
