@@ -105,8 +105,8 @@ def fit(toxic: np.ndarray, terms: list[np.ndarray], rounds: int = 25, batch: int
     if not 0 < pos < n:
         return none
     sizes = [len(t) for t in terms]
-    flat, row = np.concatenate(terms), np.repeat(np.arange(n), sizes)
-    in_pos = np.bincount(flat[y[row] > 0], minlength=PLACES)
+    flat, row = np.concatenate(terms), np.repeat(np.arange(n, dtype=np.int32), sizes)
+    in_pos = np.bincount(np.concatenate([t for t, label in zip(terms, toxic, strict=True) if label > 0]), minlength=PLACES)
     in_all = np.bincount(flat, minlength=PLACES)
     p1, p0 = in_pos / pos, (in_all - in_pos) / (n - pos)
     p = in_all / n
@@ -121,6 +121,7 @@ def fit(toxic: np.ndarray, terms: list[np.ndarray], rounds: int = 25, batch: int
     keep = where[flat] >= 0
     x = np.zeros((n, len(places)), np.uint8)
     x[row[keep], where[flat[keep]]] = 1
+    del flat, row, keep
     dice = np.random.default_rng(7)
     params = [np.array([bias], np.float32), np.zeros(len(places), np.float32), dice.normal(0, 0.01, (len(places), FACTORS)).astype(np.float32)]
     m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         return fit(np.zeros(0), [])
     terms = [np.frombuffer(t, np.int32) for t in got.column("terms").to_pylist()]
     toxic = got.column("toxic").to_numpy()
+    del got
     order = sorted(range(len(terms)), key=lambda i: (int(toxic[i]), zlib.crc32(terms[i].tobytes()), len(terms[i])))  # whatever the order of partitions
     return fit(toxic[order], [terms[i] for i in order])
 
