@@ -17,6 +17,7 @@ its own successor; repeated rows each get a row; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BITS, RADIUS, BLOCKS, SHARED = 64, 3, (11, 11, 11, 11, 10, 10), 3
-BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+BUCKET_ROWS, MOST_BUCKETS = 2000, 16_384
 _LANES = 0x0000000100000001
 
 
@@ -76,10 +77,10 @@ def _bucket_bounds(docs: DataFrame) -> list[int]:
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds lie at or under the id: 64 or so wide steps first, then the narrow ones."""
+    """How many bounds lie at or under the id: wide steps first, then the narrow ones."""
     if not bounds:
         return F.lit(0)
-    step = 64
+    step = max(16, math.isqrt(len(bounds)))
     wide = [bounds[i] for i in range(0, len(bounds), step)]
     coarse = F.size(F.filter(F.array(*map(F.lit, wide)), lambda x: x <= doc_id))
     parts = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
