@@ -243,7 +243,7 @@ class Tagger:
 
     def word(self, w: str) -> int:
         if (i := self.words.get(w)) is None:
-            if len(self.words) > 200_000:
+            if len(self.words) > 100_000:
                 self.words.clear()
             i = self.words[w] = self._id(shape(w))
         return i

@@ -41,7 +41,7 @@ _LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 COARSE = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 FINE = rf"{MARK}?[{_LATIN}]+|\n|{MARK}*[^{_LATIN}{MARK}\n]*[{_LATIN}]*"
 #: A word that no task meets this often while it holds counts is not among the commonest.
-_LEAST, _HELD, _MEMO, _HEAP_FROM = 4, 150_000, 250_000, 64
+_LEAST, _HELD, _MEMO, _HEAP_FROM = 4, 100_000, 100_000, 64
 
 
 def default_model_path() -> str:
@@ -132,7 +132,7 @@ class Model:
         """Whether piece b may follow piece a: merging both together leaves them as they are."""
         key = a << 32 | b
         if (out := self._fits.get(key)) is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) > 100_000:
                 self._fits.clear()
             x, y = self.pieces[a], self.pieces[b]
             out = self._fits[key] = self.parts(x + y) == [x, y]

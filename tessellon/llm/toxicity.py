@@ -30,7 +30,7 @@ SAMPLE, TERMS, FACTORS, PLACES, STEPS = 16_000, 1024, 8, 1 << 20, 3000
 LEAST_SEEN, LEAST_Z = 5, 4.0
 FOLDS, HELD_OUT = 5, 0
 _MARKS = ".,;:!?\"'()[]{}<>|*_-#$&~`"
-_MEMO = 300_000
+_MEMO = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
