@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, tune
 
 MARK = "▁"
-DICTIONARY, WORD_CHARS, LATTICE_TASKS = 100_000, 48, 48
+DICTIONARY, WORD_CHARS, LATTICE_TASKS = 100_000, 48, 12
 _LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 COARSE = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 FINE = rf"{MARK}?[{_LATIN}]+|\n|{MARK}*[^{_LATIN}{MARK}\n]*[{_LATIN}]*"
