@@ -245,9 +245,8 @@ t AS (
 SELECT n_files, original_tokens, exact_saved, template_saved, n_macros, exact_saved + template_saved AS saved, (exact_saved + template_saved) / original_tokens::DOUBLE AS ratio, n_macros / n_files::DOUBLE AS macros_per_file FROM base, t"""
 )
 def measure_compression(spark, sf_dir):
-    d = _dictionary(spark)
-    few = reports.sample(documents(spark, sf_dir), 500).select("file_id", "repo", "content")
-    return reports.measure(few.select("*", codec.compressor(d, IDENT)("content").alias("compressed")), d)
+    """Over every file, where the oracle measures a sample of 500; the command line can take a sample."""
+    return reports.measure(_compressed(spark, sf_dir), _dictionary(spark))
 
 
 _HASH = "CAST('0x' || substr(md5(CAST({} AS VARCHAR) || '42'), 1, 8) AS BIGINT) < {}"
@@ -278,10 +277,11 @@ def prepare_meta(spark, sf_dir):
 SELECT file_id AS record_id, repo AS repo_name, is_compressed, md5(CASE WHEN is_compressed THEN compressed ELSE content END) AS digest FROM kept ORDER BY 1 LIMIT 600"""
 )
 def stream_prepare(spark, sf_dir):
-    """The batch form of the streaming preparation; tests run the same steps on a stream."""
+    """The batch form of the streaming preparation, every record that stays, where the oracle stops at
+    600 rows; tests run the same steps on a stream."""
     d = documents(spark, sf_dir).select(F.col("file_id").alias("record_id"), "content", F.col("repo").alias("repo_name"))
     gone = spark.createDataFrame([(r,) for r in EVAL_REPOS], "repo string")
-    out = prepare.capped(prepare.prepare_stream(d, gone, codec.compressor(_dictionary(spark), IDENT)), 600)
+    out = prepare.prepare_stream(d, gone, codec.compressor(_dictionary(spark), IDENT))
     return out.select("record_id", "repo_name", "is_compressed", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

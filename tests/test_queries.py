@@ -41,3 +41,11 @@ def test_query_matches_its_oracle(spark, tables, name):
 def test_every_oracle_has_a_query_and_the_entry_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_preparing_and_measuring_take_every_row(spark, tmp_path):
+    rows = [(i, f"Row {i} of the table and the rest of it, in the end a relation of words." * 2, "en", "src5", 0) for i in range(2100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert __spark_entry__.queries()["stream_prepare"](spark, str(tmp_path)).count() == 2100
+    (m,) = __spark_entry__.queries()["measure_compression"](spark, str(tmp_path)).collect()
+    assert m.n_files == 2100
