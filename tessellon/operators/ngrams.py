@@ -129,11 +129,16 @@ def pass2_native(corpus: DataFrame, survivors: DataFrame, max_length: int = MAX_
     return by_repo.groupBy("pattern").agg(F.sum("n").alias("frequency"), F.count("*").alias("repo_count"))
 
 
-def mine_ngrams(corpus: DataFrame, top_n: int = 1000, min_frequency: int = MIN_FREQUENCY, min_repos: int = MIN_REPOS, min_tokens: int = MIN_TOKEN_SPAN, pass1_threshold: int = PASS1_THRESHOLD, max_length: int = MAX_PATTERN_LENGTH) -> DataFrame:
-    """pattern, frequency, token_count, score, repo_count of the best n-grams.
+def scored_ngrams(corpus: DataFrame, min_frequency: int = MIN_FREQUENCY, min_repos: int = MIN_REPOS, min_tokens: int = MIN_TOKEN_SPAN, pass1_threshold: int = PASS1_THRESHOLD, max_length: int = MAX_PATTERN_LENGTH) -> DataFrame:
+    """pattern, frequency, token_count, score, repo_count of every n-gram that breaks no rule.
 
     The census runs with the larger of both thresholds: a pattern is never in more files than its
     first eight characters, so the result is the same with far fewer survivors."""
     survivors = pass1(corpus, max(pass1_threshold, min_frequency))
     counted = pass2(corpus, survivors, max_length)
-    return top(score_counted(counted, min_frequency, min_repos, min_tokens, is_valid_ngram(F.col("pattern"))), top_n)
+    return score_counted(counted, min_frequency, min_repos, min_tokens, is_valid_ngram(F.col("pattern")))
+
+
+def mine_ngrams(corpus: DataFrame, top_n: int = 1000, *limits, **named) -> DataFrame:
+    """The best of ``scored_ngrams``, with its limits."""
+    return top(scored_ngrams(corpus, *limits, **named), top_n)

@@ -49,3 +49,8 @@ def test_preparing_and_measuring_take_every_row(spark, tmp_path):
     assert __spark_entry__.queries()["stream_prepare"](spark, str(tmp_path)).count() == 2100
     (m,) = __spark_entry__.queries()["measure_compression"](spark, str(tmp_path)).collect()
     assert m.n_files == 2100
+
+
+def test_merging_cuts_no_channel(spark):
+    plan = __spark_entry__.queries()["merge_mining_results"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
