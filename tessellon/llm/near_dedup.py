@@ -47,14 +47,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+        fps = pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of every row."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp and the columns ``more`` of every row."""
     tune(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *more)]
+    return docs.select("doc_id", "text", *more).mapInArrow(_fingerprints, ", ".join([kinds[0], "fp long", *kinds[1:]]))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -81,10 +82,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class left, the one of least id. Repeated rows of that id
-    count as copies, and one of them stays."""
-    marks = near_duplicates(docs)
-    gone = marks.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The documents with one of each class left, the one of least id (nulls last), ties by the text's
+    hash. Classes are of texts here, so rows that share an id, or have none, stay apart if their texts
+    do. Repeated rows of one id and text count as copies, and the least by its other columns stays."""
+    hashed = docs.withColumn("_text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = materialise(fingerprints(hashed, "_text_md5"), "fingerprints")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_md5")
+    reps = materialise(rows.groupBy("fp").agg(F.min(least).alias("rep")), "representatives")
+    found = components(links(reps.select("fp")).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    classes = reps.join(found, reps["fp"] == found["node"], "left").select(F.coalesce("component", "fp").alias("class"), "rep")
+    first = classes.groupBy("class").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_id"), F.col("rep._text_md5").alias("_md5"))
+    first = materialise(first, "first")
+    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["_id"]) & (hashed["_text_md5"] == first["_md5"]), "left_semi")
+    if rows.groupBy("doc_id", "_text_md5").count().where("count > 1").limit(1).count():
+        others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+        kept = kept.groupBy("doc_id", "_text_md5").agg(F.min_by(F.struct(*docs.columns), others).alias("_row")).select("_row.*")
+    return kept.select(*docs.columns)

@@ -166,6 +166,12 @@ def test_near_dedup_repeats_nulls_and_empty(spark):
     assert near_dedup.one_of_each(docs(spark, [])).count() == 0
 
 
+def test_one_of_each_keeps_different_texts_of_null_and_repeated_ids(spark):
+    a, b, c, d = (f"{w} alone in its own words, number {w} of the few {w} texts here" for w in ("amber", "birch", "cedar", "delta"))
+    kept = near_dedup.one_of_each(docs(spark, [a, b, b, c, d, d, c], ids=[None, None, None, 4, 4, 2, 4], extra=True))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (4, c), (2, d)], key=str)
+
+
 def brute_simhash(text):
     votes = [0] * 64
     for w in set(re.split(r"[\x20\x09-\x0D]+", (text or "").lower())):
