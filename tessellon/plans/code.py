@@ -118,8 +118,8 @@ def languages(spark, sf_dir):
 
 @query()
 def build_dictionary(spark, sf_dir):
-    """Every channel on ``documents``, scored and rebuilt: kind, ord, content, macro, slots, category."""
+    """Every channel on ``documents``, statements included, scored and rebuilt: kind, ord, content, macro, slots, category."""
     from tessellon import languages as registry
 
     registry.register(PROSE)
-    return build.build_dictionary(documents(spark, sf_dir), "prose", use_statements=False)[0]
+    return build.build_dictionary(documents(spark, sf_dir), "prose")[0]

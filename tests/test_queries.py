@@ -54,3 +54,11 @@ def test_preparing_and_measuring_take_every_row(spark, tmp_path):
 def test_merging_cuts_no_channel(spark):
     plan = __spark_entry__.queries()["merge_mining_results"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan
+
+
+def test_the_dictionary_has_statement_templates(spark, tmp_path):
+    word = lambda c, i: f"{c}{'abcdefgh'[i % 8]}{'abcdefgh'[i // 8]}"
+    rows = [(i, f"Up {word('x', i)} the {word('y', i)} and the {word('z', i)} of X", "en", f"src{i % 3}", 0) for i in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.kind, r.content) for r in __spark_entry__.queries()["build_dictionary"](spark, str(tmp_path)).collect()}
+    assert ("T", "Up {0} the {1} and the {2} of X") in got
