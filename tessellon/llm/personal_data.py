@@ -1,15 +1,16 @@
 """Personal data: base patterns by contract, and a linear-chain CRF over word-shape features.
 
-The CRF reads a text as chunks of words. Its labels are ``O``, ``NAME``, ``EMAIL``, ``PHONE``, ``IP``,
+The CRF reads a text line by line, each line whole. Its labels are ``O``, ``NAME``, ``EMAIL``, ``PHONE``, ``IP``,
 ``CARD`` and ``ID``; a word's features are its shape and those of its neighbours. It is trained on
-the driver from the small labelled table below, and decoded by Viterbi, all chunks of a batch at
+the driver from the small labelled table below, and decoded by Viterbi, many lines of a batch at
 once, in numpy. Runs of words that it labels NAME or ID, and contact runs that no base pattern
 covers, are added as spans of kinds ``crf_name``, ``crf_id``, ``crf_email``, ``crf_phone``,
 ``crf_ip``, ``crf_card``; base spans stay.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows each get a
 row; offsets are code points, ends exclusive. Base patterns run over whole texts in linear time. A
-chunk ends at a line end or after ``CHUNK`` words, so a very long line is decoded piece by piece.
+line is never cut, however long: lines of like length are decoded together, in at most ``CELLS``
+padded words unless one line has more.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the linear-chain CRF ----
 
 LABELS = ("O", "NAME", "EMAIL", "PHONE", "IP", "CARD", "ID")
-CHUNK = 96
+CELLS = 20_000
 # The labelled table, one line a sentence, word/LABEL; a word without one is O.
 TABLE = """
 Please contact Mr. John/NAME Smith/NAME about the order
@@ -224,6 +225,18 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
+def _alike(n: np.ndarray):
+    """Places in ``n`` by size, in groups whose number times largest size is at most CELLS, or of one."""
+    order = np.argsort(n, kind="stable")
+    first = 0
+    for i, size in enumerate(n[order].tolist()):
+        if i > first and (i - first + 1) * size > CELLS:
+            yield order[first:i]
+            first = i
+    if len(order):
+        yield order[first:]
+
+
 class Tagger:
     """The CRF with scores by shape, and a bounded memory of the shapes of words."""
 
@@ -248,18 +261,15 @@ class Tagger:
             i = self.words[w] = self._id(shape(w))
         return i
 
-    def label(self, chunks: list[list[str]]) -> list[np.ndarray]:
-        """Labels of each chunk's words."""
-        if not chunks:
-            return []
+    def label(self, lines: list[list[str]]) -> list[np.ndarray]:
+        """Labels of each line's words."""
         get, word = self.words.get, self.word
-        ids = [[i if (i := get(w)) is not None else word(w) for w in c] for c in chunks]
+        ids = [[i if (i := get(w)) is not None else word(w) for w in c] for c in lines]
         if len(self.names) > self.tables.shape[1]:
             self.tables = np.concatenate([self.tables, self.crf.scores(self.names[self.tables.shape[1] :]).astype(np.float32)], axis=1)
         n = np.array([len(c) for c in ids])
         out: list = [None] * len(ids)
-        order = np.argsort(n, kind="stable")
-        for part in np.array_split(order, max(1, min(len(order), int(n.sum()) // 20_000))):
+        for part in _alike(n):
             size, width = n[part], int(n[part].max())
             grid = np.full((len(part), width + 2), self.ids["$"], np.int64)
             grid[:, 0] = self.ids["^"]
@@ -277,13 +287,12 @@ def _tagger() -> Tagger:
     return Tagger(Crf())
 
 
-def _chunks(text: str):
-    """(offset, chunk, words): lines, cut after CHUNK words."""
+def _lines(text: str):
+    """(offset, words) of each line that has words."""
     at = 0
     for line in text.split("\n"):
-        words = line.split()
-        for i in range(0, len(words), CHUNK):
-            yield at, i, words[i : i + CHUNK]
+        if words := line.split():
+            yield at, words
         at += len(line) + 1
 
 
@@ -305,10 +314,10 @@ def _holds(label: str, found: str) -> bool:
 def _added(text: str, labelled, base) -> list[tuple[str, int, int]]:
     """Runs of one label, as spans without the marks around them, that meet no base span."""
     out, taken = [], sorted((s, e) for _, s, e in base)
-    for offset, first, words, labels in labelled:
+    for offset, words, labels in labelled:
         line_end = text.find("\n", offset)
         line = text[offset : line_end if line_end >= 0 else len(text)]
-        spots = [(m.start(), m.end()) for m in re.finditer(r"\S+", line)][first : first + len(words)]
+        spots = [(m.start(), m.end()) for m in re.finditer(r"\S+", line)]
         i = 0
         while i < len(words):
             j = i + 1
@@ -331,13 +340,13 @@ def find_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list, list
     texts = [t or "" for t in texts]
     base, where, words = [base_spans(t) for t in texts], [], []
     for i, t in enumerate(texts):
-        for offset, first, chunk in _chunks(t):
-            where.append((i, offset, first))
-            words.append(chunk)
+        for offset, line in _lines(t):
+            where.append((i, offset))
+            words.append(line)
     labelled: dict[int, list] = {}
-    for (i, offset, first), chunk, labels in zip(where, words, tagger.label(words), strict=True):
+    for (i, offset), line, labels in zip(where, words, tagger.label(words), strict=True):
         if labels.any():
-            labelled.setdefault(i, []).append((offset, first, chunk, labels))
+            labelled.setdefault(i, []).append((offset, line, labels))
     return [(b, sorted(_added(t, labelled.get(i, ()), b))) for i, (t, b) in enumerate(zip(texts, base, strict=True))]
 
 

@@ -43,6 +43,14 @@ def test_personal_data_query(spark):
     assert personal_data.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_long_lines_are_decoded_whole():
+    tagger = personal_data._tagger()
+    for pad in range(90, 100):
+        text = "word " * pad + "Mr. John Smith went home " + "word " * 500
+        ((_, added),) = personal_data.find_spans([text], tagger)
+        assert [(k, text[s:e]) for k, s, e in added] == [("crf_name", "John Smith")], pad
+
+
 def test_crf_learns_its_table_and_viterbi_is_best():
     crf = personal_data._tagger().crf
     tagger = personal_data.Tagger(crf)
