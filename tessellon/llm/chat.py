@@ -2,9 +2,12 @@
 
 A message's lines are parsed for nested quote marks (``>``, ``> >``, ``>>>``); each run of lines at
 one depth is a passage. Unquoted passages are registered whole, by paragraph and by line, each as a
-hash of its normalised form (lower case, white space collapsed). A quoted passage is joined on
-(conversation, hash) to the earliest message that says it, if that came before; a message answers the
-one that its least nested, then latest such link names. Answers form threads, and a thread is named
+hash of its normalised form (lower case, white space collapsed). A quoted passage, its paragraphs and
+its lines are joined on (conversation, hash) to the earliest message that says them, if that came
+before. A passage that is not found whole is found by its paragraphs if all are, and a paragraph by
+its lines; it then links to the latest message of its parts. (ORACLE knows whole passages only, so it
+differs where a quote is trimmed.) A message answers the one that its least nested, then latest such
+link names. Answers form threads, and a thread is named
 by its first message's turn.
 
 Result, a row for each message: conv_id, thread, turn, role, parent_turn (-1: none), depth (links up to the
@@ -58,17 +61,40 @@ def _joined(value: str = "content") -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", value))), lambda x: x[value]), "\n")
 
 
+def _parts(text: Column) -> Column:
+    """(par, line, text) of a passage (-1, -1), its paragraphs (par, -1) and their lines."""
+    part = lambda p, n, t: F.struct(p.cast("int").alias("par"), n.cast("int").alias("line"), t.alias("text"))
+    none = F.lit(-1)
+    below = F.transform(F.split(text, r"\n[\x20\x09]*\n"), lambda t, p: F.concat(F.array(part(p, none, t)), F.transform(F.split(t, r"\n"), lambda x, n: part(p, n, x))))
+    return F.concat(F.array(part(none, none, text)), F.flatten(below))
+
+
 def quotations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Quoted passages (_k, conv_id, turn, level, run, h), and first sayings (conv_id, h, said)."""
+    """Parts of quoted passages (_k, conv_id, turn, level, run, par, line, h), and first sayings (conv_id, h, said)."""
     passages = rows.where("NOT intro").groupBy("_k", "conv_id", "turn", "level", "run").agg(_joined().alias("text"))
     filled = normalised(F.col("text")) != ""
-    quoted = passages.where("level > 0").where(filled).select("_k", "conv_id", "turn", "level", "run", _hash(F.col("text")).alias("h"))
+    quoted = passages.where("level > 0").select("_k", "conv_id", "turn", "level", "run", F.explode(_parts(F.col("text"))).alias("part"))
+    quoted = quoted.select("_k", "conv_id", "turn", "level", "run", "part.*").where(filled).withColumn("h", _hash(F.col("text"))).drop("text")
     said = passages.where("level = 0")
     pieces = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[\x20\x09]*\n"), F.split("text", r"\n")))
     said = said.select("conv_id", "turn", F.explode(pieces).alias("text")).where(filled)
     return quoted, said.select("conv_id", "turn", _hash(F.col("text")).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("said"))
 
 
+def found_quotes(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """_k, conv_id, turn, level, run, said of each quoted passage; said is null where it is not found."""
+    key = ["_k", "conv_id", "turn", "level", "run"]
+
+    def up(parts: DataFrame, by: list[str], whole: Column) -> DataFrame:
+        """said of the whole, or else the latest of the parts if all are found."""
+        all_found = F.min(F.when(~whole, F.col("said").isNotNull()))
+        rows = parts.groupBy(*by).agg(F.max(F.when(whole, F.col("said"))).alias("_whole"), all_found.alias("_all"), F.max(F.when(~whole, F.col("said"))).alias("_last"))
+        return rows.select(*by, F.coalesce("_whole", F.when(F.col("_all"), F.col("_last"))).alias("said"))
+
+    parts = quoted.join(said, ["conv_id", "h"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
+    return up(up(parts, [*key, "par"], F.col("line") < 0), key, F.col("par") < 0)
+
+
 def threads(links: DataFrame) -> DataFrame:
     """conv_id, turn, thread, depth of messages that answer another, by pointer doubling: the rounds
     grow with the logarithm of the longest chain of answers."""
@@ -87,8 +113,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("_k", F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")).cast("binary"), 256))
     parsed = materialise(lines(rows), "lines")
     quoted, said = quotations(parsed)
-    found = quoted.join(said, ["conv_id", "h"], "left").withColumn("_ok", F.coalesce(F.col("said") < F.col("turn"), F.lit(False)))
-    found = materialise(found, "quotes")
+    found = materialise(found_quotes(quoted, said).withColumn("_ok", F.col("said").isNotNull()), "quotes")
     links = materialise(found.where("_ok").groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("said")).alias("back"))).alias("_m")).select("conv_id", "turn", (-F.col("_m.back")).alias("parent_turn")), "answers")
     counts = found.groupBy("_k").agg(F.count("*").alias("n_quotes"), F.sum(F.col("_ok").cast("long")).alias("n_linked"))
     bodies = parsed.where("level = 0 AND NOT intro").groupBy("_k").agg(F.regexp_replace(_joined(), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("body"))

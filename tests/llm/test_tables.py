@@ -147,6 +147,20 @@ def test_chats_link_quotes(spark):
     assert chat.format_chats(c.limit(0)).count() == 0
 
 
+def test_chats_link_trimmed_quotes(spark):
+    rows = [
+        (1, 0, "u", "line one\nline two\nline three\nline four\n\npara two\nits end\n\npara three"),
+        (1, 1, "a", "> line two\n> line three\nmine"),
+        (1, 2, "u", "> para two its\n> end\n>\n> para three\nagreed"),
+        (1, 3, "a", "> line two\n> never said\nno"),
+        (1, 4, "u", "> mine\n>\n> line one\nboth"),
+        (1, 5, "u", "> later\n> mine"),
+        (1, 6, "u", "later"),
+    ]
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t].parent_turn, got[t].n_quotes, got[t].n_linked) for t in range(7)] == [(-1, 0, 0), (0, 1, 1), (0, 1, 1), (-1, 1, 0), (1, 1, 1), (-1, 1, 0), (-1, 0, 0)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
