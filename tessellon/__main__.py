@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessellon.languages import available_languages, get_language
 from tessellon.operators import build, codec, dictionary, prepare, reports, scoring
-from tessellon.session import local_session
+from tessellon.session import local_session, materialise
 from tessellon.sources import corpus as src
 
 
@@ -55,7 +55,7 @@ def measure(spark, args):
 
 
 def repos(spark, args):
-    spread = reports.macro_repos(_compressed(spark, args), _dictionary(spark, args)).persist()
+    spread = materialise(reports.macro_repos(_compressed(spark, args), _dictionary(spark, args)), "spread")
     reports.repo_histogram(spread).orderBy("repo_count").show(100)
     reports.repo_threshold_table(spread).orderBy("threshold").show()
     reports.repo_detail(spread).orderBy("repo_count", "macro").show(50, False)
@@ -69,11 +69,12 @@ def merge(spark, args):
 
 
 def do_prepare(spark, args):
-    mixed = prepare.mix(_compressed(spark, args), args.eval_repos or list(get_language(args.language).eval_repos), args.ratio, args.seed).persist()
+    eval_repos = args.eval_repos or list(get_language(args.language).eval_repos)
+    mixed = materialise(prepare.mix(_compressed(spark, args), eval_repos, args.ratio, args.seed, args.eval_only), "mixed")
     for part in ("train", "eval"):
         if part == "eval" or not args.eval_only:
             src.write_jsonl(mixed.where(F.col("split") == part), f"{args.out}/{part}")
-    prepare.meta(mixed, _dictionary(spark, args).count(), args.ratio, args.seed).coalesce(1).write.mode("overwrite").json(f"{args.out}/meta")
+    prepare.meta(mixed, _dictionary(spark, args).count(), args.ratio, args.seed, eval_repos, args.eval_only).coalesce(1).write.mode("overwrite").json(f"{args.out}/meta")
 
 
 def compress(spark, args):
@@ -88,7 +89,8 @@ def decompress(spark, args):
 def extract(spark, args):
     lang = get_language(args.language)
     files = src.read_files(spark, args.corpus, lang.source_extensions)
-    out = src.extract_files(files, lang.extension, args.min_length, args.max_length, args.max_files, lang.skip_paths).persist()
+    out = src.extract_files(files, lang.extension, args.min_length, args.max_length, args.max_files, lang.skip_paths)
+    out = materialise(out, "files")
     out.write.mode("overwrite").parquet(f"{args.out}/files")
     src.metadata(out).write.mode("overwrite").json(f"{args.out}/metadata")
     src.summary(out).show()

@@ -36,6 +36,11 @@ def truncate(token_array: Column, most: int) -> Column:
     return F.slice(token_array, 1, most)
 
 
+def trim_to(reference: Column, generated: Column) -> Column:
+    """As many of the reference's tokens as were generated: a shorter answer is held to no more."""
+    return F.slice(reference, F.lit(1), F.size(generated))
+
+
 def prefix_suffix(token_array: Column, ratio: float = 0.5, min_tokens: int = 32, max_prefix: int = 512) -> Column:
     """struct(prefix, suffix) of token arrays; null if the text is too short or a side is empty."""
     n = F.size(token_array)

@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from tessellon.languages import Language, get_language
 from tessellon.operators import candidates, codec, dictionary, ngrams, scoring, templates
-from tessellon.operators.lexer import safe_ranges_udf
+from tessellon.operators.lexer import safe_corpus, safe_ranges_udf
+from tessellon.session import materialise
 
 # How many entries a channel may hand on.
 INTERNAL_LIMIT, MAX_TEMPLATES, MAX_STATEMENTS, MAX_ENTRIES = 10_000, 500, 1000, 999
 
 
 def candidate_dictionary(corpus: DataFrame, language: str | Language, seeds: bool = True, use_ngrams: bool = True, use_templates: bool = True, use_statements: bool = True, min_frequency: int = 50, min_repos: int = 2, template_frequency: int = 30) -> DataFrame:
-    """Seeds, then exact candidates of both channels, then templates, then statement templates."""
+    """Seeds, then exact candidates of both channels, then templates, then statement templates. Exact
+    candidates come from safe zones only: a macro for what stands in a comment or a string is never used."""
     lang = get_language(language) if isinstance(language, str) else language
     spark = corpus.sparkSession
+    safe = safe_corpus(corpus, lang)
     channels = []
     if seeds and lang.seeds:
         rows = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(lang.seeds)], "rank long, content string, category string")
         channels.append((rows, "M", "seed", None))
-    exact = candidates.score_counted(candidates.regex_candidates(corpus, lang.candidates), min_frequency, min_repos) if lang.candidates else None
+    exact = candidates.score_counted(candidates.regex_candidates(safe, lang.candidates), min_frequency, min_repos) if lang.candidates else None
     if use_ngrams:
-        grams = ngrams.mine_ngrams(corpus, INTERNAL_LIMIT, min_frequency, min_repos)
+        grams = ngrams.mine_ngrams(safe, INTERNAL_LIMIT, min_frequency, min_repos)
         exact = candidates.merge_results(exact, grams) if exact is not None else grams
     if exact is not None:
         channels.append((exact.select(F.col("pattern").alias("content"), (-F.col("score")).alias("rank")), "M", "mined", INTERNAL_LIMIT))
@@ -45,9 +48,8 @@ def compress_corpus(corpus: DataFrame, entries: DataFrame, language: str | None
 def build_dictionary(corpus: DataFrame, language: str, auto: bool = True, min_files: int = 0, min_repos: int = 2, max_entries: int = MAX_ENTRIES, scores_path: str | None = None, **channels) -> tuple[DataFrame, DataFrame]:
     """(dictionary, scores): candidates of every channel, scored on the corpus, rebuilt from the best.
     ``auto`` chooses the least file count that keeps 90 % of the impact."""
-    corpus = corpus.persist()
-    entries = candidate_dictionary(corpus, language, min_repos=min_repos, **channels).persist()
-    scores = scoring.score_macros(compress_corpus(corpus, entries, language), entries).persist()
+    entries = materialise(candidate_dictionary(corpus, language, min_repos=min_repos, **channels), "entries")
+    scores = materialise(scoring.score_macros(compress_corpus(corpus, entries, language), entries), "scores")
     if scores_path:
         scores.write.mode("overwrite").parquet(scores_path)
     if auto:

@@ -11,9 +11,11 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.languages import Language, get_language
+from tessellon.session import ship
 
 
 @lru_cache(32)
@@ -58,3 +60,17 @@ def safe_ranges_udf(language: str):
 def safe_text(text: str, language: Language) -> str:
     """The safe parts, one to a line."""
     return "\n".join(text[a:b] for a, b in safe_ranges(text, language))
+
+
+def safe_corpus(corpus: DataFrame, language: Language) -> DataFrame:
+    """The corpus with the safe parts of each file as its content. A language without comments and
+    strings leaves it as it is."""
+    if not (language.comments or language.strings):
+        return corpus
+    ship(corpus.sparkSession)
+
+    @F.pandas_udf("string")
+    def safe(texts: pd.Series) -> pd.Series:
+        return pd.Series([safe_text(t or "", language) for t in texts], dtype=object)
+
+    return corpus.withColumn("content", safe("content"))

@@ -109,10 +109,11 @@ def pass2(corpus: DataFrame, survivors: DataFrame, max_length: int = MAX_PATTERN
     """pattern, frequency, repo_count of extensions of the survivors. Exact for every pattern whose
     frequency reaches the survivors' threshold; rarer ones may be missing."""
     survivors = survivors.select("gram")
-    if survivors.limit(MOST_SURVIVORS + 1).count() > MOST_SURVIVORS:
+    grams = survivors.limit(MOST_SURVIVORS + 1).toArrow().column("gram")  # so many at most, in one run of pass 1
+    if len(grams) > MOST_SURVIVORS:
         return pass2_native(corpus, survivors, max_length)
     ship(corpus.sparkSession)
-    known = corpus.sparkSession.sparkContext.broadcast(frozenset(survivors.toArrow().column("gram").to_pylist()))
+    known = corpus.sparkSession.sparkContext.broadcast(frozenset(grams.to_pylist()))
     parts = corpus.select("content", "repo").mapInArrow(_pass2(known, max_length), "pattern string, repo string, n long")
     by_repo = parts.groupBy("pattern", "repo").agg(F.sum("n").alias("n"))
     return by_repo.groupBy("pattern").agg(F.sum("n").alias("frequency"), F.count("*").alias("repo_count"))

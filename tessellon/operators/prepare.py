@@ -16,22 +16,35 @@ def split(corpus: DataFrame, eval_repos: list[str]) -> DataFrame:
     return corpus.withColumn("split", F.when(F.coalesce(F.col("repo").isin(eval_repos), F.lit(False)), "eval").otherwise("train"))
 
 
-def mix(compressed: DataFrame, eval_repos: list[str], ratio: float = COMPRESS_RATIO, seed: int = SEED) -> DataFrame:
-    """file_id, repo, split, is_compressed, text: all of eval is compressed, ``ratio`` of train."""
+def mix(compressed: DataFrame, eval_repos: list[str], ratio: float = COMPRESS_RATIO, seed: int = SEED, eval_only: bool = False) -> DataFrame:
+    """file_id, repo, split, is_compressed, text: all of eval is compressed, ``ratio`` of train, which is
+    left out with ``eval_only``."""
     rows = split(compressed, eval_repos)
+    rows = rows.where("split = 'eval'") if eval_only else rows
     rows = rows.withColumn("is_compressed", (F.col("split") == "eval") | keep_by_hash(F.col("file_id"), ratio, seed))
     return rows.select("file_id", "repo", "split", "is_compressed", F.when(F.col("is_compressed"), F.col("compressed")).otherwise(F.col("content")).alias("text"), F.length("content").alias("original_chars"))
 
 
-def meta(mixed: DataFrame, dictionary_size: int, ratio: float = COMPRESS_RATIO, seed: int = SEED) -> DataFrame:
-    """One row of run counters. The reduction is over train and eval, plain rows included."""
+def meta(mixed: DataFrame, dictionary_size: int, ratio: float = COMPRESS_RATIO, seed: int = SEED, eval_repos: list[str] | None = None, eval_only: bool = False) -> DataFrame:
+    """One row of run counters. The reduction is over train and eval, plain rows included, in percent; 0
+    without a character. Files without text count as errors. ``eval_only`` leaves out what is about train.
+    The split is by repo where any file has one."""
     train = F.col("split") == "train"
     count = lambda c: F.sum(c.cast("long"))
-    return mixed.agg(
+    known = F.coalesce(F.max((F.col("repo") != "unknown").cast("int")), F.lit(0)) == 1
+    always = [
         F.lit(dictionary_size).alias("dictionary_size"), F.lit(ratio).alias("compress_ratio"), F.lit(seed).alias("seed"),
-        count(train).alias("train_files"), count(train & F.col("is_compressed")).alias("train_compressed"), count(train & ~F.col("is_compressed")).alias("train_original"),
-        count(~train).alias("eval_files"), ((1 - F.sum(F.length("text")) / F.sum("original_chars")) * 100).alias("char_reduction_pct"),
-    )
+        F.when(known, "repo_balanced").otherwise("all_train").alias("split_method"), F.lit(eval_only).alias("eval_only"),
+        F.lit(eval_repos or []).cast("array<string>").alias("eval_repos"), F.coalesce(count(~train & F.col("text").isNotNull()), F.lit(0)).alias("eval_files"),
+        F.coalesce(count(F.col("text").isNull()), F.lit(0)).alias("errors"),
+    ]
+    read = F.col("text").isNotNull()
+    reduction = F.coalesce((1 - F.sum(F.length("text")) / F.sum(F.when(read, F.col("original_chars")))) * 100, F.lit(0.0))
+    more = [
+        F.coalesce(count(train & read), F.lit(0)).alias("train_files"), F.coalesce(count(train & read & F.col("is_compressed")), F.lit(0)).alias("train_compressed"),
+        F.coalesce(count(train & read & ~F.col("is_compressed")), F.lit(0)).alias("train_original"), reduction.alias("char_reduction_pct"),
+    ]
+    return mixed.agg(*always, *([] if eval_only else more))
 
 
 def prepare_stream(records: DataFrame, eval_repos: DataFrame, compress, ratio: float = COMPRESS_RATIO, seed: int = SEED, key: str = "repo_name") -> DataFrame:

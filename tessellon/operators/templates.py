@@ -3,12 +3,12 @@
 Without a parser for every language, an identifier's role is read from what stands around it. Names
 that call, are called, construct, are members (but of ``this`` and ``self``) or name types stay; other
 names become slots ``{0}``, ``{1}``, the same name the same slot. Candidates come from a language's
-expressions, or from its statements (``statements=True``), which are the lexical stand-in for
-subtrees of a syntax tree.
+expressions, or from the statements of its bracket tree (``statements=True``), by their depth.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -19,10 +19,12 @@ from tessellon.functions.text import MIN_CHARS, MIN_REPOS, MIN_TOKEN_SPAN, expan
 from tessellon.languages import Language, get_language
 from tessellon.operators.candidates import document_frequency, top
 from tessellon.operators.lexer import safe_ranges
-from tessellon.session import ship
+from tessellon.operators.tree import parse
+from tessellon.session import materialise, ship
 
 # Limits of templates.
 MIN_FREQUENCY, MIN_SLOTS, MAX_SLOTS, MAX_SOURCE = 30, 1, 6, 200
+MIN_DEPTH, MAX_DEPTH = 2, 6
 DEFAULT_PROXY = "_varName"
 _OWN = re.compile(r"(?:this|self|cls)\s*(?:\.|\?\.|->)\s*$")
 
@@ -43,14 +45,15 @@ def should_normalize(text: str, start: int, end: int, language: Language) -> boo
     return not (text[start].isupper() and after.startswith("."))
 
 
-def normalize(text: str, language: Language, collapse: bool = False) -> tuple[str, list[str]] | None:
-    """(template, arguments), or None if there is nothing to normalise or nothing else left."""
+def normalize(text: str, language: Language, collapse: bool = False, names: set[int] | None = None) -> tuple[str, list[str]] | None:
+    """(template, arguments), or None if there is nothing to normalise or nothing else left. ``names``:
+    where identifiers start, if a tree tells; none stands in a string then."""
     slots: dict[str, int] = {}
     out, at = [], 0
     if _looks_slotted(text):
         return None
     for m in re.finditer(language.ident, text):
-        if (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_$")) or not should_normalize(text, *m.span(), language):
+        if (names is not None and m.start() not in names) or (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_$")) or not should_normalize(text, *m.span(), language):
             continue
         n = slots.setdefault(m[0], len(slots))
         if n >= MAX_SLOTS:
@@ -92,12 +95,19 @@ def expression_candidates(text: str, language: Language) -> list[tuple[str, list
 
 
 def statement_candidates(text: str, language: Language) -> list[tuple[str, list[str]]]:
+    """Statements of the file's tree, nested ones too, that start in a safe zone and are deep enough to
+    have structure, but not so deep that they are whole functions."""
+    starts, ends = zip(*safe_ranges(text, language), strict=True) if text else ((), ())
     out = []
-    for start, end in safe_ranges(text, language):
-        for part in re.split(r"(?<=[;{}])|\n\s*\n" if language.type_first else r"(?<=[;{}])|\n", text[start:end]):
-            part = part.strip()
-            if MIN_CHARS <= len(part) <= MAX_SOURCE and (found := normalize(part, language, collapse=True)) and len(found[0]) >= MIN_CHARS:
-                out.append(found)
+    for node in parse(text, language).walk():
+        if node.kind != "statement" or not MIN_CHARS <= node.end - node.start <= MAX_SOURCE:
+            continue
+        zone = bisect.bisect_right(starts, node.start) - 1
+        if zone < 0 or node.start >= ends[zone] or not MIN_DEPTH <= node.depth() <= MAX_DEPTH:
+            continue
+        names = {n.start - node.start for n in node.walk() if n.kind == "identifier"}
+        if (found := normalize(text[node.start : node.end], language, collapse=True, names=names)) and len(found[0]) >= MIN_CHARS:
+            out.append(found)
     return out
 
 
@@ -148,7 +158,7 @@ def score_templates(census: DataFrame, proxy: DataFrame, min_frequency: int = MI
 
 
 def mine_templates(corpus: DataFrame, language: str | Language, top_n: int = 2000, statements: bool = False, **limits) -> DataFrame:
-    uses = template_uses(corpus, language, statements).persist()
+    uses = materialise(template_uses(corpus, language, statements), "uses")
     if statements:
         limits.setdefault("min_tokens", MIN_TOKEN_SPAN)
     return top(score_templates(template_census(uses), identifier_proxy(identifier_census(uses)), **limits), top_n, tie="template")

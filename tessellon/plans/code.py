@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellon.languages import available_languages, get_language
 from tessellon.languages.base import Language, words
-from tessellon.operators import build, lexer, templates
+from tessellon.operators import build, candidates, lexer, ngrams, templates
 from tessellon.operators.segments import range_stats
 from tessellon.plans.corpus import CORPUS
 from tessellon.plans.mining import TOKENS
@@ -71,6 +71,45 @@ def mine_templates(spark, sf_dir):
     return templates.mine_templates(documents(spark, sf_dir), PROSE)
 
 
+def _values(columns: str, rows: list[tuple]) -> str:
+    """A table written out by hand, as SQL."""
+    sql = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(sql, r)) + ")" for r in rows) + f") t({columns})"
+
+
+# What the small files must give, read off by hand. Every pattern of the mined file's safe zones is in all 60 files.
+EXPECTED_MINED = [(p, 60, 3) for p in (
+    " public static void Run", " public static void Run(x", " public static void Run(x)", " public static void", " public static",
+    "/ public static void Run", "/ public static void Run(x", "/ public static void Run(x)", "/ public static void", "/ public static", "/ public",
+    "// public static void Run", "// public static void Run(x", "// public static void Run(x)", "// public static void", "// public static",
+    "// public", "/// public static void Run", "/// public static void Run(x", "/// public static void Run(x)", "/// public static void",
+    "/// public static", "/// public", "public static void Code", "public static void Code(x", "public static void Code(x)",
+    "public static void Run", "public static void Run(x", "public static void Run(x)", "public static void", "public static", "static void Code",
+    "static void Code(x", "static void Code(x)", "static void Run", "static void Run(x", "static void Run(x)", "static void", "void Code",
+    "void Code(x", "void Code(x)", "void Run", "void Run(x", "void Run(x)",
+)]
+EXPECTED_ZONES = [(0, "csharp", 5, 177, 84.688995), (1, "go", 5, 101, 78.294574), (2, "java", 4, 128, 85.90604), (3, "python", 4, 93, 79.487179), (4, "typescript", 5, 114, 77.55102)]
+EXPECTED_TEMPLATES = [
+    ("csharp", True, "char {0} = 'x';", "c"),
+    ("csharp", True, "public A(int {0}) { this.{1} = {0}; }", "a,_a"),
+    ("csharp", True, "public int Get() { return {0}; }", "_a"),
+    ("csharp", True, 'string {0} = "public class B";', "s"),
+    ("csharp", True, "this.{0} = {1};", "_a,a"),
+    ("java", False, "this.{0} = {0};", "a"),
+    ("java", True, "A(int {0}) { this.{0} = {0}; }", "a"),
+    ("java", True, 'String {0} = "x // y";', "s"),
+    ("java", True, "this.{0} = {0};", "a"),
+    ("python", False, "def f(self, {0}):", "a"),
+    ("python", False, "self.{0} = {1}", "_a,a"),
+    ("python", True, "def f(self, {0}):", "a"),
+    ("python", True, "self.{0} = {1}", "_a,a"),
+    ("typescript", False, "({0}: string) =>", "x"),
+    ("typescript", False, "async ({0}: string)", "x"),
+    ("typescript", False, "import { {0} } from ", "a"),
+    ("typescript", True, "import { {0} } from 'b';", "a"),
+    ("typescript", True, "const {0} = await g(`t ${x}`);", "y"),
+]
+
 #: name -> a file of the language, with documentation, comments, strings and repeated statements.
 FILES = {
     "csharp": 'using System;\n/// <summary>Adds.</summary>\npublic class A {\n  // no\n  private int _a; string s = "public class B"; char c = \'x\';\n  public A(int a) { this._a = a; }\n  public int Get() { return _a; } /* no */\n}\n',
@@ -86,7 +125,11 @@ def _code(spark):
     return spark.createDataFrame(rows, "file_id long, repo string, language string, content string")
 
 
-@query()
+#: What a C# file adds to the mined corpus: the same phrase as documentation, comment, string and code.
+MINED = '/// public static void Run(x)\n// public static void Off(x)\nvar s = "public static void Text(x)";\npublic static void Code(x)\n'
+
+
+@query(_values("file_id, language, n_ranges, safe_chars, safe_pct", EXPECTED_ZONES))
 def safe_zones(spark, sf_dir):
     """file_id, language, safe characters and their share, for each language's file."""
     ship(spark)
@@ -95,10 +138,10 @@ def safe_zones(spark, sf_dir):
     for p in parts[1:]:
         rows = rows.unionByName(p)
     s = range_stats(F.col("safe"), F.length("content"))
-    return rows.select("file_id", "language", F.size("safe").alias("n_ranges"), s["safe_bytes"].alias("safe_chars"), s["safe_pct"].alias("safe_pct"))
+    return rows.select("file_id", "language", F.size("safe").alias("n_ranges"), s["safe_bytes"].alias("safe_chars"), F.round(s["safe_pct"], 6).alias("safe_pct"))
 
 
-@query()
+@query(_values("language, statements, template, args", EXPECTED_TEMPLATES))
 def code_templates(spark, sf_dir):
     """language, template, args from expressions and statements of each language's file."""
     rows = None
@@ -110,6 +153,17 @@ def code_templates(spark, sf_dir):
     return rows.distinct()
 
 
+@query(_values("pattern, frequency, repo_count", EXPECTED_MINED))
+def code_candidates(spark, sf_dir):
+    """Patterns of both channels, mined from safe zones: what stands in documentation and code, and nothing of
+    comments and strings."""
+    ship(spark)
+    lang = get_language("csharp")
+    rows = lexer.safe_corpus(spark.range(60).select(F.col("id").alias("file_id"), F.concat(F.lit("repo"), F.col("id") % 3).alias("repo"), F.lit("csharp").alias("language"), F.lit(MINED).alias("content")), lang)
+    both = candidates.merge_results(candidates.score_counted(candidates.regex_candidates(rows, lang.candidates)), ngrams.scored_ngrams(rows))
+    return both.select("pattern", "frequency", "repo_count")
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(get_language(n).seeds)}, {len(get_language(n).candidates)})" for n in available_languages()) + ") t(language, n_seeds, n_candidates)")
 def languages(spark, sf_dir):
     rows = [(n, len(get_language(n).seeds), len(get_language(n).candidates)) for n in available_languages()]

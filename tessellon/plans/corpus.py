@@ -36,11 +36,11 @@ def _files(spark, sf_dir):
 _FILES = f"{CORPUS}, files AS (SELECT repo || '/' || language || '/' || lpad(CAST(file_id AS VARCHAR), 9, '0') || '.txt' AS path, repo, content FROM corpus)"
 _EXTRACTED = f"""{_FILES}, extracted AS (
   SELECT row_number() OVER (ORDER BY repo, path) - 1 AS file_id, path, repo, length(content) AS n FROM files
-  WHERE length(content) BETWEEN 100 AND 50000 AND NOT contains(lower(path), '/fr/') AND NOT contains(lower(path), 'src1/'))"""
+  WHERE length(content) BETWEEN 100 AND 1000000 AND NOT contains(lower(path), '/vendor/') AND NOT contains(lower(path), '/generated/'))"""
 
 
 def _extracted(spark, sf_dir):
-    return src.extract_files(_files(spark, sf_dir), ".txt", skip=("/FR/", "src1/"))
+    return src.extract_files(_files(spark, sf_dir), ".txt", max_length=1_000_000, skip=("/Vendor/", "/generated/"))
 
 
 @query(f"WITH {_EXTRACTED} SELECT file_id, lpad(CAST(file_id AS VARCHAR), 6, '0') || '.txt' AS filename, path, repo, n AS original_size FROM extracted")

@@ -10,7 +10,9 @@ from tessellon.functions.text import contains_macros, list_macros
 from tessellon.operators import codec, prepare, reports, scoring
 from tessellon.plans.corpus import CORPUS, EVAL_REPOS
 from tessellon.plans.mining import TOKENS
+from tessellon.session import shared_dir
 from tessellon.sources.corpus import documents, load_scores, save_scores
+from tessellon.streaming import prepare as stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -166,8 +168,7 @@ def rebuild_top_n(spark, sf_dir):
 @query(_REBUILT)
 def refilter(spark, sf_dir):
     """From the stored sidecar, without mining again."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessellon"
-    path = f"{where.rstrip('/')}/scores-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
     save_scores(_scores(spark, sf_dir), path)
     return scoring.refilter(load_scores(spark, path), 50, 4, 2)
 
@@ -237,7 +238,7 @@ def repo_detail(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_USES}, sample AS (SELECT file_id, content FROM corpus ORDER BY md5(CAST(file_id AS VARCHAR) || '42'), file_id LIMIT 500),
+    f"""WITH {_USES}, sample AS (SELECT file_id, content FROM corpus),
 used AS (SELECT * FROM saved WHERE file_id IN (SELECT file_id FROM sample) AND (kind = 'M' OR saved > 0)),
 base AS (SELECT count(*) AS n_files, CAST(sum({TOKENS.format("content")}) AS BIGINT) AS original_tokens FROM sample),
 t AS (
@@ -245,7 +246,7 @@ t AS (
 SELECT n_files, original_tokens, exact_saved, template_saved, n_macros, exact_saved + template_saved AS saved, (exact_saved + template_saved) / original_tokens::DOUBLE AS ratio, n_macros / n_files::DOUBLE AS macros_per_file FROM base, t"""
 )
 def measure_compression(spark, sf_dir):
-    """Over every file, where the oracle measures a sample of 500; the command line can take a sample."""
+    """Over every file; the command line takes a sample, and ``sample_files`` is that sample."""
     return reports.measure(_compressed(spark, sf_dir), _dictionary(spark))
 
 
@@ -264,27 +265,59 @@ def prepare_mix(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MIX} SELECT {len(ENTRIES)} AS dictionary_size, 0.75::DOUBLE AS compress_ratio, 42 AS seed, CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_files,
+    f"""WITH {_MIX} SELECT {len(ENTRIES)} AS dictionary_size, 0.75::DOUBLE AS compress_ratio, 42 AS seed, 'repo_balanced' AS split_method, FALSE AS eval_only, 'src3,src11' AS eval_repos, 0::BIGINT AS errors, CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_files,
   CAST(sum(CASE WHEN split = 'train' AND is_compressed THEN 1 ELSE 0 END) AS BIGINT) AS train_compressed, CAST(sum(CASE WHEN split = 'train' AND NOT is_compressed THEN 1 ELSE 0 END) AS BIGINT) AS train_original,
   CAST(sum(CASE WHEN split = 'eval' THEN 1 ELSE 0 END) AS BIGINT) AS eval_files, round((1 - sum(length(CASE WHEN is_compressed THEN compressed ELSE content END)) / sum(length(content))::DOUBLE) * 100, 6) AS char_reduction_pct FROM mixed"""
 )
 def prepare_meta(spark, sf_dir):
-    return prepare.meta(_mixed(spark, sf_dir), len(ENTRIES)).withColumn("char_reduction_pct", F.round("char_reduction_pct", 6))
+    row = prepare.meta(_mixed(spark, sf_dir), len(ENTRIES), eval_repos=EVAL_REPOS)
+    return row.withColumn("char_reduction_pct", F.round("char_reduction_pct", 6)).withColumn("eval_repos", F.array_join("eval_repos", ","))
+
+
+@query(f"WITH {_MIX} SELECT CAST(sum(CASE WHEN split = 'eval' THEN 1 ELSE 0 END) AS BIGINT) AS eval_files, TRUE AS eval_only, count(*) FILTER (split = 'eval' AND NOT is_compressed) AS n_plain FROM mixed")
+def prepare_eval_only(spark, sf_dir):
+    """The run that writes the evaluation split alone: none of it is plain, and nothing is said of train."""
+    rows = prepare.mix(_compressed(spark, sf_dir), EVAL_REPOS, eval_only=True)
+    return prepare.meta(rows, len(ENTRIES), eval_repos=EVAL_REPOS, eval_only=True).select("eval_files", "eval_only").join(rows.agg(F.sum((~F.col("is_compressed")).cast("long")).alias("n_plain")))
 
 
 @query(
     f"""WITH {_COMP}, kept AS (SELECT *, {_HASH.format("file_id", int(0.75 * 2**32))} AS is_compressed FROM comp WHERE length(content) >= 50 AND repo NOT IN ('src3', 'src11'))
-SELECT file_id AS record_id, repo AS repo_name, is_compressed, md5(CASE WHEN is_compressed THEN compressed ELSE content END) AS digest FROM kept ORDER BY 1 LIMIT 600"""
+SELECT file_id AS record_id, repo AS repo_name, is_compressed, md5(CASE WHEN is_compressed THEN compressed ELSE content END) AS digest FROM kept"""
 )
 def stream_prepare(spark, sf_dir):
-    """The batch form of the streaming preparation, every record that stays, where the oracle stops at
-    600 rows; tests run the same steps on a stream."""
-    d = documents(spark, sf_dir).select(F.col("file_id").alias("record_id"), "content", F.col("repo").alias("repo_name"))
+    """The batch form of the streaming preparation, every record that stays; ``stream_prepare_live`` runs
+    the same steps on a stream."""
+    return _prepared(spark, documents(spark, sf_dir).select(F.col("file_id").alias("record_id"), "content", F.col("repo").alias("repo_name")))
+
+
+def _prepared(spark, records):
     gone = spark.createDataFrame([(r,) for r in EVAL_REPOS], "repo string")
-    out = prepare.prepare_stream(d, gone, codec.compressor(_dictionary(spark), IDENT))
+    out = prepare.prepare_stream(records, gone, codec.compressor(_dictionary(spark), IDENT))
     return out.select("record_id", "repo_name", "is_compressed", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(ORACLES["stream_prepare"])
+def stream_prepare_live(spark, sf_dir):
+    """The same preparation as a stream: a file source, a Parquet sink that commits each batch once."""
+    path = f"{sf_dir}/documents.parquet"
+    d = stream.read_records(spark, f"{path}*", spark.read.parquet(path).schema)
+    d = d.select(F.col("doc_id").alias("record_id"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce("source", F.lit("unknown")).alias("repo_name"))
+    return stream.to_table(_prepared(spark, d), "prepared")
+
+
+@query(
+    """SELECT strftime(to_timestamp(floor(epoch(ts) / 300) * 300) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total
+FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
+)
+def stream_windowed_counts(spark, sf_dir):
+    """Tumbling counts of ``events`` by a stream whose state holds every window."""
+    path = f"{sf_dir}/events.parquet"
+    live = stream.windowed_counts(stream.read_records(spark, f"{path}*", spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp")))
+    rows = stream.complete(live, "windows")
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
 @query(f"WITH {CORPUS} SELECT file_id, md5(content) AS digest FROM corpus WHERE repo IN ('src3', 'src11')")
 def decompressed_eval(spark, sf_dir):
     rows = _mixed(spark, sf_dir).where("split = 'eval'")

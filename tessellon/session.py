@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,13 +25,44 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tes
     )
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder of ``spark.checkpoint.dir`` (a temporary one only where
-    none is set): a later read meets the same partitions, and lost executors lose nothing."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. A local session without one
+    gets a temporary folder; a cluster without one is an error, since its machines share no other."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tessellon-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: lineage ends there, and lost
+    executors lose none of it. Shuffle files go with the end of the execution that made them; the table
+    goes by ``drop``, or with the application."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessellon-"))
-    return df.checkpoint()
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    there, fs = _path(spark, path)
+    fs.deleteOnExit(there)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote and that nothing reads any more."""
+    for t in tables:
+        there, fs = _path(t.sparkSession, t._scratch)
+        fs.delete(there, True)
+
+
+def _path(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def ship(spark: SparkSession) -> None:

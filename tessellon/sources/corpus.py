@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellon import schema
-from tessellon.session import settle
+from tessellon.session import materialise
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """The rows with file_id, counting from 0 in the given order. The order is made by ranges, so a
     repo with a third of all files is dealt out like any other; a running sum over the partitions'
     counts tells each where it starts."""
-    placed = settle(rows.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = materialise(rows.sort(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition

@@ -421,3 +421,34 @@ def test_command_line(spark, tmp_path):
     assert src.read_jsonl(spark, f"{tmp_path}/p/eval").count() == 10 and src.read_jsonl(spark, f"{tmp_path}/p/train").count() == 20
     main(["measure", *base, "--dictionary", f"{tmp_path}/d"], spark)
     main(["repos", *base], spark)
+
+
+def test_tree_has_statements_of_a_depth():
+    from tessellon.operators.tree import parse
+
+    text = "class A {\n  void F(int a) { this.x = g(a, [1]); if (a) { h(\"}\"); } else { k(); } } // }\n}\n"
+    tree = parse(text, get_language("java"))
+    found = [text[n.start : n.end] for n in tree.walk() if n.kind == "statement"]
+    assert found[1:] == ['void F(int a) { this.x = g(a, [1]); if (a) { h("}"); } else { k(); } }', "this.x = g(a, [1]);", 'if (a) { h("}"); } else { k(); }', 'h("}");', "k();"]
+    assert {text[n.start : n.end]: n.depth() for n in tree.walk() if n.kind == "statement"}["this.x = g(a, [1]);"] == 5
+    deep = parse("(" * 20_000 + "x" + "]" * 5, get_language("java"))
+    assert deep.depth() > 20_000 and parse("", get_language("go")).children == []
+    assert templates.statement_candidates("return a;\nthis.value = a;\n", get_language("java")) == [("this.{0} = {1};", ["value", "a"])]
+
+
+def test_exact_candidates_come_from_safe_zones(spark):
+    from tessellon.operators import build
+
+    text = 'using System;\n// the secret ingredient phrase here\nvar s = "inside a string literal phrase";\n/// the documented phrase stays here\n'
+    got = {r.content for r in build.candidate_dictionary(corpus(spark, [text] * 60), "csharp", seeds=False, use_templates=False, use_statements=False).collect()}
+    assert any("documented phrase" in p for p in got) and not any("secret" in p or "literal" in p for p in got)
+
+
+def test_meta_of_an_evaluation_only_run(spark):
+    c = corpus(spark, [f"text number {i} " * 5 for i in range(30)], ["a", "b", "e"]).withColumn("compressed", F.lit("C"))
+    (m,) = prepare.meta(prepare.mix(c, ["e"], eval_only=True), 3, eval_repos=["e"], eval_only=True).collect()
+    assert m.asDict() == {"dictionary_size": 3, "compress_ratio": 0.75, "seed": 42, "split_method": "repo_balanced", "eval_only": True, "eval_repos": ["e"], "eval_files": 10, "errors": 0}
+    (m,) = prepare.meta(prepare.mix(c.limit(0), ["e"]), 3).collect()
+    assert (m.split_method, m.train_files, m.char_reduction_pct) == ("all_train", 0, 0.0)
+    gone = c.withColumn("content", F.when(F.col("file_id") > 0, F.col("content"))).withColumn("compressed", F.when(F.col("file_id") > 0, F.col("compressed")))
+    assert prepare.meta(prepare.mix(gone, ["e"]), 3).first().errors == 1

@@ -10,7 +10,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = ["corpus_extract", "unknown_repo", "invert_ranges", "in_safe_range", "ngram_pass1", "regex_candidates", "mine_patterns", "merge_dictionaries", "compress_templates", "macro_scores", "rebuild_top_n", "repo_threshold_table", "prepare_mix", "stream_prepare", "template_census", "ident_proxy", "bleu4", "bleu4_native", "chrf", "context_index", "expansion_span", "prefix_suffix", "config_analysis"]
+NAMES = ["corpus_extract", "unknown_repo", "invert_ranges", "in_safe_range", "ngram_pass1", "regex_candidates", "mine_patterns", "merge_dictionaries", "compress_templates", "macro_scores", "rebuild_top_n", "repo_threshold_table", "prepare_mix", "stream_prepare", "template_census", "ident_proxy", "bleu4", "bleu4_native", "chrf", "context_index", "expansion_span", "prefix_suffix", "config_analysis", "edit_similarity", "trimmed_reference", "safe_zones", "code_templates", "code_candidates", "prepare_meta", "prepare_eval_only", "stream_prepare_live", "stream_windowed_counts", "measure_compression"]
 
 
 def plain(x):
