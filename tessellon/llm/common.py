@@ -1,67 +1,32 @@
-"""Helpers that the training-data operators share: table access, scratch tables, digests."""
+"""Helpers that the training-data operators share: table access, scratch tables (``materialise``, ``drop``), digests."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import tempfile
-import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellon.session import ship
+from tessellon.session import drop, materialise, ship
 
 #: Rows in one Arrow batch: documents are whole texts, so a batch stays at some megabytes.
 ARROW_ROWS = 256
 
+__all__ = ["ARROW_ROWS", "drop", "join_spans", "materialise", "sha256_hex", "table", "tune"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Ship the code, and bound an Arrow batch by rows, since one row can hold a very long text."""
+    """Ship the code, bound an Arrow batch by rows, since one row can hold a very long text, and let
+    shuffle files go with the execution that made them."""
     ship(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessellon-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends there, and lost
-    executors lose none of it. Shuffle files behind it become free to go."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop(table: DataFrame) -> None:
-    """Remove a table that ``materialise`` wrote and that nothing reads any more."""
-    spark = table.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)  # the cleaner runs beside
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

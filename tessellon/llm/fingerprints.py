@@ -8,7 +8,8 @@ fingerprint; a lane holds any text, since the weights of distinct words add up t
 
 Fingerprints within ``RADIUS`` bits: 64 bits are cut into 6 blocks, of which 3 bits can spoil 3; so
 two such fingerprints agree on 3 blocks at least, and each of the 20 choices of 3 blocks makes a
-table keyed by them. Candidates that share a key are verified over all 64 bits.
+table keyed by them. Candidates that share a key are verified over all 64 bits, and a pair counts in the
+first table that it shares, so that dense groups are counted without a row for each pair.
 
 Defined results: a null text counts as empty; an empty text has fingerprint 0; rows without an id
 come first in the order, rows with equal ids follow one another by text hash; one document alone is
@@ -66,36 +67,43 @@ def simhash(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return words.groupBy(*keys).agg(*_vote_sums(F.col("_t"))).select(*keys, _from_sums().alias("fp"))
 
 
-def _bucket_bounds(docs: DataFrame) -> list[int]:
-    """Ids that cut the documents into buckets of about ``BUCKET_ROWS``: at most ``MOST_BUCKETS``."""
+def _cuts(docs: DataFrame) -> tuple[list[int], DataFrame]:
+    """Ids that cut the documents into buckets of about ``BUCKET_ROWS`` rows, ``MOST_BUCKETS`` at most, and
+    hid, pieces of the ids (null too) that would overfill a bucket alone. Such an id starts a bucket."""
     n = docs.count()
-    parts = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    if parts == 1:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    return sorted(set(cuts))
+    size = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
+    hot = docs.groupBy("doc_id").count().where(F.col("count") > size)  # fewer than MOST_BUCKETS
+    hot = materialise(hot.select(F.col("doc_id").alias("hid"), F.ceil(F.col("count") / size).cast("int").alias("pieces")), "hot")
+    parts = -(-n // size)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    return sorted({*(cuts or []), *(r.hid for r in hot.collect() if r.hid is not None)}), hot
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds lie at or under the id: wide steps first, then the narrow ones."""
+    """How many bounds lie at or under the id, wide steps first, then the narrow ones; -1 for no id."""
     if not bounds:
-        return F.lit(0)
+        return F.when(doc_id.isNull(), -1).otherwise(0)
     step = max(16, math.isqrt(len(bounds)))
     wide = [bounds[i] for i in range(0, len(bounds), step)]
     coarse = F.size(F.filter(F.array(*map(F.lit, wide)), lambda x: x <= doc_id))
     parts = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
     fine = F.size(F.filter(F.element_at(parts, F.greatest(coarse, F.lit(1))), lambda x: x <= doc_id))
-    return F.when(doc_id.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine)
+    return F.when(doc_id.isNull(), -1).when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
 
 
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, _b, _guest, _h, so that the rows of a bucket ``_b`` in order of (_guest, doc_id,
     _h) have each row's successor behind it: a bucket's first row is a guest at the end of the bucket
-    before (of the last one, for the first)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text", F.lit(1)).alias("_h"), _bucket(F.col("doc_id"), _bucket_bounds(docs)).alias("_b"))
+    before (of the last one, for the first). The rows of an id that many share, or of none, are dealt
+    to buckets of their own by ranges of the text hash that orders them."""
+    bounds, hot = _cuts(docs)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text", F.lit(1)))
+    rows = rows.join(F.broadcast(hot), rows["doc_id"].eqNullSafe(hot["hid"]), "left")  # fewer rows than MOST_BUCKETS
+    piece = F.floor((F.shiftright("_h", 1) + F.lit(1 << 62)) / F.lit(float(1 << 63)) * F.col("pieces")).cast("long")
+    piece = F.when(F.col("pieces").isNull(), F.lit(1 << 30).cast("long")).otherwise(F.least(piece, F.col("pieces").cast("long") - 1))
+    rows = rows.select("doc_id", "text", "_h", ((_bucket(F.col("doc_id"), bounds).cast("long") + 1) * F.lit(1 << 31) + piece).alias("_b"))
     first = materialise(rows.groupBy("_b").agg(F.min(F.struct("doc_id", "_h")).alias("_m")), "firsts")
-    # One row for each bucket, and so at most MOST_BUCKETS of them.
+    # One row for each bucket, and so some MOST_BUCKETS of them.
     all_, by = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy("_b")
     host = first.select(F.col("_b").alias("_fb"), F.col("_m.doc_id").alias("_fid"), F.col("_m._h").alias("_fh"), F.coalesce(F.lag("_b").over(by), F.max("_b").over(all_)).alias("_host"))
     met = rows.join(F.broadcast(host), (rows["_b"] == host["_fb"]) & rows["doc_id"].eqNullSafe(host["_fid"]) & (rows["_h"] == host["_fh"]), "left")
@@ -122,26 +130,36 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return out.where("_guest = 0").select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
 
 
-def neighbours(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs fa < fb of distinct fingerprints (column fp) within ``radius`` bits (3 at most)."""
+def _met(fps: DataFrame, radius: int, *more: str) -> DataFrame:
+    """fa, fb and ``more`` (of a and of b) of each pair of distinct fingerprints (column fp) within ``radius``
+    bits, met once: in the first of the tables whose blocks agree."""
     if not 0 <= radius <= len(BLOCKS) - SHARED:
         raise ValueError(f"radius must be 0 to {len(BLOCKS) - SHARED}")
     starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    masks = [sum(((1 << BLOCKS[i]) - 1) << starts[i] for i in some) for some in combinations(range(len(BLOCKS)), SHARED)]
-    masks = [m - (1 << 64) * (m >> 63) for m in masks]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("table", "key"))
-    left, right = keyed.withColumnRenamed("fp", "fa"), keyed.withColumnRenamed("fp", "fb")
-    near = left.join(right, ["table", "key"]).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius))
-    return near.select("fa", "fb").distinct()
+    signed = lambda m: F.lit(m - (1 << 64) * (m >> 63)).cast("long")
+    blocks = [((1 << size) - 1) << at for size, at in zip(BLOCKS, starts, strict=True)]
+    choices = list(combinations(range(len(BLOCKS)), SHARED))
+    keyed = fps.select("fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(signed(sum(blocks[i] for i in some))) for some in choices])).alias("table", "key"))
+    left, right = (keyed.select(F.col("fp").alias(f"f{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more], "table", "key") for x in "ab")
+    near = left.join(right, ["table", "key"]).withColumn("_x", F.col("fa").bitwiseXOR(F.col("fb"))).where((F.col("fa") < F.col("fb")) & (F.bit_count("_x") <= radius))
+    # Which blocks agree, as six bits; for each such set, the first table that all of its blocks make.
+    first = [next((i for i, some in enumerate(choices) if all(agree >> k & 1 for k in some)), -1) for agree in range(1 << len(BLOCKS))]
+    agree = sum((F.when(F.col("_x").bitwiseAND(signed(m)) == 0, 1 << i).otherwise(0) for i, m in enumerate(blocks)), F.lit(0))
+    near = near.where(F.get(F.array(*map(F.lit, first)), agree) == F.col("table"))
+    return near.select("fa", "fb", *[f"{c}_{x}" for c in more for x in "ab"])
+
+
+def neighbours(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs fa < fb of distinct fingerprints (column fp) within ``radius`` bits (3 at most)."""
+    return _met(fps, radius)
 
 
 def near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, n_near: how many other rows (column fp) lie within ``radius`` bits. Copies are counted,
-    not compared."""
+    """fp, n_near: how many other rows (column fp) lie within ``radius`` bits. Copies are counted, not
+    compared, and pairs are summed for their ends where they are met: no pair is shuffled."""
     kinds = materialise(rows.groupBy("fp").agg(F.count("*").alias("n")), "kinds")
-    pairs = neighbours(kinds.select("fp"), radius)
-    both = pairs.unionByName(pairs.select(F.col("fb").alias("fa"), F.col("fa").alias("fb")))
-    more = both.join(kinds.select(F.col("fp").alias("fb"), "n"), "fb").groupBy("fa").agg(F.sum("n").alias("more"))
+    ends = F.explode(F.array(F.struct(F.col("fa").alias("f"), F.col("n_b").alias("n")), F.struct(F.col("fb").alias("f"), F.col("n_a").alias("n"))))
+    more = _met(kinds, radius, "n").select(ends.alias("e")).groupBy(F.col("e.f").alias("fa")).agg(F.sum("e.n").alias("more"))
     return kinds.join(more, kinds["fp"] == more["fa"], "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
 
 

@@ -133,21 +133,42 @@ def test_simhash_near_duplicates(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(fps)
 
 
-def test_links_find_every_pair_within_three_bits(spark):
-    r = random.Random(2)
+def _near_values(seed, dense=0):
+    """Signed fingerprints: random ones, others some bits from them, and a group within few bits."""
+    r = random.Random(seed)
     fps = [r.getrandbits(64) for _ in range(40)]
     for f in list(fps):
         for n in (1, 2, 3, 4):
             fps.append(f ^ sum(1 << b for b in r.sample(range(64), n)))
-    signed = sorted({f - (1 << 64) * (f >> 63) for f in fps})
+    fps += [fps[0] ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 3))) for _ in range(dense)]
+    return sorted({f - (1 << 64) * (f >> 63) for f in fps})
+
+
+def _apart(a, b):
+    return bin((a ^ b) & (2**64 - 1)).count("1")
+
+
+def test_links_find_every_pair_within_three_bits(spark):
+    signed = _near_values(2)
     table = spark.createDataFrame([(f,) for f in signed], "fp long")
-    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    assert {tuple(x) for x in near_dedup.links(table).collect()} == want
-    assert {tuple(x) for x in fingerprints.neighbours(table).collect()} == want
+    want = {(a, b) for a in signed for b in signed if a < b and _apart(a, b) <= 3}
+    assert sorted(map(tuple, fingerprints.neighbours(table).collect())) == sorted(want)
+    beside = {a: [b for b in signed if a != b and _apart(a, b) <= 3] for a in signed}
+    got = {r.fp: (r.own, r["least"], r.most) for r in near_dedup.links(table).collect()}
+    assert got == {a: (a, min(x), max(x)) for a, x in beside.items() if x}
     with pytest.raises(ValueError):
         fingerprints.neighbours(table, 4)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_fingerprint_classes_are_components(spark, seed):
+    signed = _near_values(seed, dense=150)
+    got = {r.node: r.component for r in near_dedup.fingerprint_classes(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    classes = brute_components([f & (2**64 - 1) for f in signed])
+    alone = {f for f in signed if not any(f != g and _apart(f, g) <= 3 for g in signed)}
+    assert got == {f: signed[c] for f, c in zip(signed, classes, strict=True) if f not in alone}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -172,6 +193,25 @@ def test_one_of_each_keeps_different_texts_of_null_and_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (4, c), (2, d)], key=str)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_one_of_each_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    base = [" ".join(r.choice(["river", "stone", "tree", "hall", "é"]) + str(r.randint(0, 90)) for _ in range(200)) for _ in range(6)]
+    pool = base + [b + " end" for b in base] + ["", None, "one", "One"]
+    rows = [(r.choice([None, 1, 2, 3, 4, 5]), r.choice(pool), r.choice(["a", "b", None])) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, s, "x") for i, t, s in rows], "doc_id long, text string, source string, fp string").repartition(3)
+    got = near_dedup.one_of_each(d)
+    assert got.columns == d.columns
+    classes = brute_components([brute_fingerprint(t) for _, t, _ in rows])
+    kept = [(x.doc_id, x.text, x.source) for x in got.collect()]
+    mine = [{i for i, row in enumerate(rows) if row == k} for k in kept]
+    assert all(mine) and sorted(min(classes[i] for i in m) for m in mine) == sorted(set(classes))
+    for k, m in zip(kept, mine, strict=True):
+        c = classes[min(m)]
+        ids = [rows[i][0] for i in range(len(rows)) if classes[i] == c]
+        assert k[0] == min((i for i in ids if i is not None), default=None)
+
+
 def brute_simhash(text):
     votes = [0] * 64
     for w in set(re.split(r"[\x20\x09-\x0D]+", (text or "").lower())):
@@ -184,7 +224,7 @@ def brute_simhash(text):
 @pytest.mark.parametrize("rows", [2000, 5])
 def test_fingerprint_report(spark, monkeypatch, rows):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", rows)  # many buckets, so that edges are met
-    texts = [t for t in HARD if t is None or "\x00" not in t] + made(3, 25)
+    texts = HARD + made(3, 25)
     got = sorted(fingerprints.fingerprint_report(docs(spark, texts, extra=True)).collect(), key=lambda r: r.doc_id)
     fps = [brute_simhash(t) for t in texts]
     like = lambda a, b: 1 - bin(a ^ b).count("1") / 64
@@ -204,3 +244,22 @@ def test_fingerprint_report_edges(spark):
     assert one.near_next == 1.0 and one.n_near == 0
     got = fingerprints.fingerprint_report(docs(spark, ["a b c d", "a b c d", "e", None], ids=[2, 2, None, 5])).collect()
     assert len(got) == 4 and sum(r.doc_id == 2 for r in got) == 2
+
+
+def test_fingerprint_report_deals_out_shared_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
+    r = random.Random(6)
+    texts = [f"text {i} " + " ".join(r.choice(["river", "stone", "tree"]) for _ in range(9)) for i in range(90)]
+    ids = [None] * 30 + [7] * 30 + list(range(30))
+    d = docs(spark, texts, ids=ids)
+    placed = fingerprints.in_order(d).where("_guest = 0").groupBy("_b").count().collect()
+    assert max(x["count"] for x in placed) <= 12 and sum(x["count"] for x in placed) == 90
+    got = fingerprints.with_edits(d).collect()
+    hashes = {x.text: x._h for x in fingerprints.in_order(d).select("text", "_h").collect()}
+    order = sorted(range(90), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[texts[i]]))
+    want = []
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        n = len(texts[i])
+        edited = texts[i][: n - n // 4] + texts[j][: n // 4]
+        want.append((ids[i], hashlib.sha256(edited.encode()).hexdigest(), brute_simhash(texts[j])))
+    assert sorted(((x.doc_id, x.edited_sha256, x.next_fp & (2**64 - 1)) for x in got), key=str) == sorted(want, key=str)
