@@ -73,6 +73,7 @@ class Scanner:
         self.words.make_automaton()
         self.at = {"assign": re.compile(ASSIGN, re.I | re.A), "access": re.compile(ACCESS)} | {k: re.compile(p) for k, (_, p) in CHECKED.items()}
         self.hex = re.compile(HEX)
+        self.run = re.compile(r"[A-Za-z0-9_-]*")
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         """Spans (kind, start, end), by start and then by kind as listed."""
@@ -81,7 +82,11 @@ class Scanner:
         out, done = [], {}
         for end, (kind, n) in self.words.iter(low):
             start = end + 1 - n
-            if start < done.get(kind, 0) or not (m := self.at[kind].match(text, start)):
+            if start < done.get(kind, 0):
+                continue
+            if not (m := self.at[kind].match(text, start)):
+                if kind == "jwt":  # what failed here fails everywhere in this run of its characters
+                    done[kind] = self.run.match(text, start).end()
                 continue
             done[kind] = m.end()
             if kind == "assign":

@@ -158,6 +158,58 @@ def test_toxicity_pairs_count_more_than_their_sum():
     assert m.score("insultword groupname", memo) > 0.5 > max(m.score("insultword", memo), m.score("groupname", memo), m.score("", memo))
 
 
+def _terms(texts):
+    return [np.array(sorted({t for w in x.split() for t in toxicity.word_terms(w)}), np.int32) for x in texts]
+
+
+def test_toxicity_learns_words_that_tell_nothing_alone():
+    r = random.Random(10)
+    texts, toxic = [], []
+    for i in range(1200):  # toxic if exactly one of the two words is there
+        a, b = i % 2, i // 2 % 2
+        texts.append(" ".join(["aaaa"] * a + ["bbbb"] * b + [r.choice(["river", "stone", "tree", "hall"]) for _ in range(6)]))
+        toxic.append(a ^ b)
+    m = toxicity.fit(np.array(toxic), _terms(texts))
+    memo = m.memo()
+    assert min(m.score("aaaa", memo), m.score("bbbb", memo)) > 0.8 and max(m.score("aaaa bbbb", memo), m.score("river", memo)) < 0.2
+
+
+def test_toxicity_learns_an_insult_that_meets_a_group():
+    r = random.Random(11)
+    texts, toxic = [], []
+    for i in range(2000):  # each word is in as many clean texts as in toxic ones; together they are always toxic
+        both = i % 10 == 0
+        words = ["insultword", "groupname"] if both else r.choice([[], ["insultword"], ["groupname"], []])
+        texts.append(" ".join([*words, *(r.choice(["river", "stone", "tree", "hall"]) for _ in range(6))]))
+        toxic.append(int(both or (not words and r.random() < 0.45)))
+    m = toxicity.fit(np.array(toxic), _terms(texts))
+    memo = m.memo()
+    assert m.score("insultword groupname river", memo) > 0.8 > 0.5 > max(m.score("insultword river", memo), m.score("groupname river", memo))
+
+
+def test_toxicity_score_is_the_sum_over_terms_and_pairs():
+    r = np.random.default_rng(0)
+    places = np.array(sorted({t for w in ("alpha", "beta", "gamma") for t in toxicity.word_terms(w)}))
+    m = toxicity.Machine(places, 0.3, r.normal(size=len(places)), r.normal(size=(len(places), 8)))
+    x = [i for i, p in enumerate(places.tolist()) if p in {*toxicity.word_terms("alpha"), *toxicity.word_terms("beta")}]
+    z = 0.3 + sum(m.w[i] for i in x) + sum(float(m.v[i] @ m.v[j]) for i in x for j in x if i < j)
+    assert m.score("Alpha, beta! beta unknown", m.memo()) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+    assert m.score(None, m.memo()) == m.score("", m.memo()) == pytest.approx(1 / (1 + np.exp(-0.3)))
+
+
+def test_toxicity_training_is_bounded_in_terms(spark, monkeypatch):
+    texts, toxic = _marked(100)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda y, terms: seen.append((len(y), sum(map(len, terms)))))
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 500)
+    toxicity.train(docs(spark, texts + texts[:1] * 50, ids=[*range(100), *[0] * 50]), labels)
+    assert 0 < seen[0][1] <= 500
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 10**9)
+    toxicity.train(docs(spark, texts + texts[1:2] * 50, ids=[*range(100), *[1] * 50]), labels)
+    assert seen[1][0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(100))
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     m = toxicity.train(docs(spark, ["a", None]), none)
