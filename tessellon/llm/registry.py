@@ -34,6 +34,11 @@ def op7_chat_formatting(spark, sf_dir):
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def chat_conversations(spark, sf_dir):
+    """Whole conversations in reply order, of messages made to quote each other: the table's own quote nothing."""
+    return chat.conversation_digests(table(spark, sf_dir, "conversations"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-_QUERIES = (op1_suffix_dedup, op2_permutation_ann, op3_personal_data, op4_sentencepiece, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity)
+_QUERIES = (op1_suffix_dedup, op2_permutation_ann, op3_personal_data, op4_sentencepiece, op5_mix, op6_simhash_near_dedup, op7_chat_formatting, op8_secret_scan, op9_simhash_fingerprints, op10_toxicity, chat_conversations)
 
 
 def queries() -> dict:
@@ -55,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_mix": mixing.ORACLE, "op7_chat_formatting": chat.ORACLE}
+    return {"op5_mix": mixing.ORACLE, "op7_chat_formatting": chat.ORACLE, "chat_conversations": chat.CONVERSATIONS_ORACLE}
