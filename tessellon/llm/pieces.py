@@ -40,8 +40,8 @@ DICTIONARY, WORD_CHARS, LATTICE_TASKS = 100_000, 48, 12
 _LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 COARSE = rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 FINE = rf"{MARK}?[{_LATIN}]+|\n|{MARK}*[^{_LATIN}{MARK}\n]*[{_LATIN}]*"
-#: A word that no task meets this often while it holds counts is not among the commonest.
-_LEAST, _HELD, _MEMO, _HEAP_FROM = 4, 100_000, 100_000, 64
+#: Words that a task counts before it hands them on; words that a worker remembers; when merging takes a heap.
+_HELD, _MEMO, _HEAP_FROM = 250_000, 100_000, 64
 
 
 def default_model_path() -> str:
@@ -138,6 +138,10 @@ class Model:
             out = self._fits[key] = self.parts(x + y) == [x, y]
         return out
 
+    def decodes(self, ids: list[int], word: str) -> bool:
+        """Whether the ids' bytes are the word, its marks as spaces."""
+        return b"".join(map(self.bytes.__getitem__, ids)) == word.replace(MARK, " ").encode("utf-8", "replace")
+
     def reached(self) -> list[int]:
         """Ids of pieces that merging can make at all."""
         return [i for p, i in self.id.items() if self.parts(p) == [p]]
@@ -165,7 +169,7 @@ def _word_counts(words: str):
 
 
 def _counted(held: Counter) -> pa.RecordBatch:
-    rows = [(w, n) for w, n in held.items() if n >= _LEAST and 0 < len(w) <= WORD_CHARS and w[:2] != MARK * 2]
+    rows = [(w, n) for w, n in held.items() if 0 < len(w) <= WORD_CHARS]
     return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
 
@@ -242,33 +246,44 @@ def fold(lattices: DataFrame, model: Model) -> DataFrame:
     return rows.select("word", F.when(F.col("back.at") == 0, F.flatten(F.transform("back.path", ids_of))).alias("ids"))
 
 
-def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
-    """Word -> its ids, four bytes each, of the commonest words: ``most`` at most, of bounded length."""
+def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> tuple[dict[str, bytes], frozenset[str]]:
+    """Word -> its ids, four bytes each, of the commonest words: ``most`` at most, of bounded length; and
+    those of them that do not decode to themselves."""
     words = common_words(docs, model.words, most)
     got = fold(lattice(words, piece_table(docs.sparkSession, model), model.longest), model).where("ids IS NOT NULL").toArrow()
-    return {w: np.array(x, np.int32).tobytes() for w, x in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True)}
+    pairs = list(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
+    return {w: np.array(x, np.int32).tobytes() for w, x in pairs}, frozenset(w for w, x in pairs if not model.decodes(x, w))
 
 
 class Encoder(dict):
     """Word -> ids as bytes: the dictionary's words, and a bounded memory of others, merged when they
-    come up."""
+    come up. Whether a text decodes to itself is told by its words: each holds whole characters, so a
+    text comes back if its words do, and decoding a distinct word once is enough."""
 
-    def __init__(self, model: Model, known: dict[str, bytes]):
+    def __init__(self, model: Model, known: dict[str, bytes], spoiled: frozenset[str] = frozenset()):
         super().__init__(known)
         self.model, self.most, self.find = model, len(known) + _MEMO, re.compile(model.words).findall
-        self.known = known
+        self.known, self.known_spoiled, self.spoiled = known, spoiled, set(spoiled)
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.model.encode_word(word), np.int32).tobytes()
+        ids = self.model.encode_word(word)
+        out = np.array(ids, np.int32).tobytes()
+        if not self.model.decodes(ids, word):
+            self.spoiled.add(word)
         if len(word) <= WORD_CHARS:
-            if len(self) >= self.most:
-                self.clear()
-                self.update(self.known)
             self[word] = out
         return out
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.find(marked(text)))), np.int32)
+    def encode(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """The text's ids, and whether they decode to it."""
+        words = self.find(marked(text))
+        ids = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        same = MARK not in (text or "") and (not self.spoiled or self.spoiled.isdisjoint(words))
+        if len(self) > self.most or len(self.spoiled) > _MEMO:  # between texts, so that none of a text's words is forgotten in it
+            self.clear()
+            self.update(self.known)
+            self.spoiled = set(self.known_spoiled)
+        return ids, same
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; ids of control pieces, or beyond the table, add nothing."""
@@ -284,7 +299,8 @@ def _encoder(shared, tag: str) -> Encoder:
     """The worker's encoder: it outlives a task, and so does what it remembers."""
     if tag not in _AT_WORK:
         _AT_WORK.clear()
-        _AT_WORK[tag] = Encoder(*shared.value)
+        model, (known, spoiled) = shared.value
+        _AT_WORK[tag] = Encoder(model, known, spoiled)
     return _AT_WORK[tag]
 
 
@@ -300,9 +316,9 @@ def encode(docs: DataFrame, model_path: str | None = None, most: int = DICTIONAR
         for b in batches:
             ids, same = [], []
             for text in b.column(1).to_pylist():
-                x = coder.encode(text)
+                x, back = coder.encode(text)
                 ids.append(x)
-                same.append(coder.decode(x) == (text or ""))
+                same.append(back)
             sizes = np.array([len(x) for x in ids], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32())
