@@ -78,7 +78,7 @@ def links(nodes: DataFrame) -> DataFrame:
     ball = F.explode(F.filter(flips, lambda x: x.bitwiseAND(F.col("p.v")) == x))
     probes = held.select(F.col("fp").alias("pf"), *[F.col("label").alias("pl")] * label, "p", ball.alias("x"))
     probes = probes.select("pf", *["pl"] * label, key(F.col("p.v").bitwiseXOR(F.col("x"))).alias("key"))
-    met = probes.join(held.select("fp", *["label"] * label, key(F.col("p.v")).alias("key")), "key")
+    met = probes.join(held.select("fp", *["label"] * label, key(F.col("p.v")).alias("key")).hint("merge"), "key")
     ours, theirs = (F.col("pl"), F.col("label")) if label else (F.col("pf"), F.col("fp"))
     met = met.where((F.bit_count(F.col("pf").bitwiseXOR(F.col("fp"))) <= RADIUS) & (ours != theirs))
     end = lambda n, own, other: F.struct(n.alias("fp"), own.alias("own"), other.alias("other"))
@@ -119,7 +119,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
     rows = materialise(fingerprints(docs), "fingerprints")
     reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "representatives")
-    return rows.join(_classes(reps, "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Written first: the join is then dealt anew on both sides, and a common fingerprint's rows can be split.
+    classes = materialise(_classes(reps, "component_id"), "by_fingerprint")
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
