@@ -166,7 +166,9 @@ def near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near."""
     rows = materialise(with_edits(docs), "edits")
-    return rows.join(near_counts(rows.select("fp")), "fp").select(
+    # Written first: the join is then dealt anew on both sides, and a common fingerprint's rows can be split.
+    counts = materialise(near_counts(rows.select("fp")), "counts")
+    return rows.join(counts, "fp").select(
         "doc_id", "n_chars", "edited_sha256", hex_of(F.col("fp")).alias("fingerprint"), hex_of(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
     )
