@@ -56,6 +56,24 @@ def test_ann_bears_bad_rows(spark):
     assert ann.search(_vectors(spark, [(0, [1.0], "x")])).count() == 0
 
 
+def test_ann_scores_are_of_the_vectors_as_they_are(spark):
+    base = [0.3, -1.7, 2.9, 0.1]
+    rows = [(0, base, "x")] + [(i, [v * 2.0**i for v in base], "x") for i in range(1, 5)] + [(5, [1e-30, 0.0, 0.0, 1e-30], "x"), (6, [3e38, 3e38, 0.0, 0.0], "x")]
+    got = [(r.vec_id, r.score) for r in sorted(ann.search(_vectors(spark, rows), k=6).collect(), key=lambda r: r["rank"])]
+    assert [i for i, _ in got][:4] == [1, 2, 3, 4] and len({s for _, s in got[:4]}) == 1  # scaled copies tie, and go by id
+    want = {i: float(np.dot(np.float32(v).astype(float), np.float32(base).astype(float)) / np.linalg.norm(np.float32(v).astype(float)) / np.linalg.norm(np.float32(base).astype(float))) for i, v, _ in rows[5:]}
+    assert all(s == pytest.approx(want[i], abs=1e-12) for i, s in got[4:])
+
+
+def test_ann_with_many_pivots(spark):
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.normal(size=16).astype(np.float32).tolist() for i in range(700)}
+    got = ann.search(_vectors(spark, [(i, v, "x") for i, v in vectors.items()]), pivots=300, opened=120).collect()
+    want = _exact(vectors)
+    found = {q: {r.vec_id for r in got if r.query_id == q} for q in want}
+    assert np.mean([len(found[q] & set(w)) / 5 for q, w in want.items()]) >= 0.9
+
+
 def brute_mix(rows):
     import hashlib
     import re
