@@ -6,7 +6,8 @@ of ``documents``.
 
 1. toxicity: a factorization machine, trained on the labels outside the held-out fold; documents
    that it scores one half or more go.
-2. near_dedup: SimHash classes; the document of least id stays of each.
+2. near_dedup: SimHash classes; the document of least id stays of each (nulls last, ties by the text's
+   hash, then by that of the other columns).
 3. secrets: every span found is masked; no document goes.
 4. mixing: each source by its target weight; a document appears as often as the mix takes it.
 5. sentencepiece: doc_id, n_pieces, ids and round_trip.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessellon.llm import mixing, near_dedup, pieces, secret_scan, toxicity
-from tessellon.llm.common import materialise, table
+from tessellon.llm.common import drop, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs = before = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
