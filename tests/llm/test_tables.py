@@ -242,3 +242,30 @@ def test_registry_names_one_query_for_each_operator():
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert HARD
+
+
+def test_texts_of_a_megabyte(spark):
+    import time
+
+    from tessellon.llm import fingerprints, near_dedup, personal_data, pieces, secret_scan, suffix_dedup, toxicity
+    from tests.llm.test_dedup import brute_dedup, brute_fingerprint, brute_simhash
+
+    r = random.Random(1)
+    long = " ".join(r.choice(["river", "stone", "tree", "hall"]) + str(r.randint(0, 2000)) for _ in range(115_000))
+    texts = [long, "x" * 1_000_000, long + " end", None, "\x00"]
+    assert len(long) > 10**6
+    d = docs(spark, texts, extra=True)
+    assert sorted(map(tuple, suffix_dedup.dedup_report(d).collect()), key=str) == brute_dedup(list(enumerate(texts)))
+    got = {x.doc_id: x for x in near_dedup.near_duplicates(d).collect()}
+    assert [int(got[i].fingerprint, 16) for i in range(5)] == [brute_fingerprint(t) for t in texts] and got[2].component_id == 0
+    got = {x.doc_id: x for x in fingerprints.fingerprint_report(d).collect()}
+    assert [int(got[i].fingerprint, 16) for i in range(5)] == [brute_simhash(t) for t in texts]
+    machine = toxicity.train(d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert all(0 <= x.score <= 1 for x in toxicity.score(d, machine).collect())
+    assert all(x.round_trip for x in pieces.encode(d, most=50).collect())
+    began = time.perf_counter()
+    for hostile in ("eyJ" * 300_000, "eyJ-a." * 100_000, "password " * 100_000, "-----BEGIN " * 90_000, "AKIA" * 200_000, "token=" * 100_000):
+        secret_scan.Scanner()(hostile)
+    for hostile in (long.replace(" ", " Mr. "), "a@" * 300_000, "1." * 300_000, "+1 (" * 200_000):
+        personal_data.base_spans(hostile)
+    assert time.perf_counter() - began < 20  # quadratic work would take minutes
