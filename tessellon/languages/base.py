@@ -28,6 +28,7 @@ class Language:
     is_safe: Callable[[str, str, int], bool] | None = None  # (token, text, start)
     extensions: tuple[str, ...] = ()
     ident: str = r"[a-zA-Z_]\w*"
+    min_depth: int = 2  # of a statement that can be a template; text without any nesting has 1
     type_first: bool = True  # ``Type name``: of two identifiers in a row the first is a type
     skip_paths: tuple[str, ...] = ("/test/fixtures/", "/vendor/", "/node_modules/", "/generated/", "/third_party/", "/.git/", "/dist/")
     repos: tuple[str, ...] = field(default=())

@@ -37,15 +37,15 @@ def candidate_dictionary(corpus: DataFrame, language: str | Language, seeds: boo
     return dictionary.candidate_union(channels)
 
 
-def compress_corpus(corpus: DataFrame, entries: DataFrame, language: str | None = None, ident: str | None = None) -> DataFrame:
+def compress_corpus(corpus: DataFrame, entries: DataFrame, language: str | Language | None = None, ident: str | None = None) -> DataFrame:
     """The corpus with ``compressed``: within safe zones if a language is named."""
     if language is None:
         return corpus.withColumn("compressed", codec.compressor(entries, ident or codec.IDENT)("content"))
-    lang = get_language(language)
-    return corpus.withColumn("compressed", codec.compressor(entries, lang.ident, zones=True)(F.col("content"), safe_ranges_udf(language)("content")))
+    lang = get_language(language) if isinstance(language, str) else language
+    return corpus.withColumn("compressed", codec.compressor(entries, lang.ident, zones=True)(F.col("content"), safe_ranges_udf(lang)("content")))
 
 
-def build_dictionary(corpus: DataFrame, language: str, auto: bool = True, min_files: int = 0, min_repos: int = 2, max_entries: int = MAX_ENTRIES, scores_path: str | None = None, **channels) -> tuple[DataFrame, DataFrame]:
+def build_dictionary(corpus: DataFrame, language: str | Language, auto: bool = True, min_files: int = 0, min_repos: int = 2, max_entries: int = MAX_ENTRIES, scores_path: str | None = None, **channels) -> tuple[DataFrame, DataFrame]:
     """(dictionary, scores): candidates of every channel, scored on the corpus, rebuilt from the best.
     ``auto`` chooses the least file count that keeps 90 % of the impact."""
     entries = materialise(candidate_dictionary(corpus, language, min_repos=min_repos, **channels), "entries")

@@ -46,9 +46,9 @@ def safe_ranges(text: str, language: Language) -> list[tuple[int, int]]:
         return [(0, len(text))] if text else []
 
 
-def safe_ranges_udf(language: str):
+def safe_ranges_udf(language: str | Language):
     """A column function text -> array of (start, end)."""
-    lang = get_language(language)
+    lang = get_language(language) if isinstance(language, str) else language
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def ranges(texts: pd.Series) -> pd.Series:

@@ -24,7 +24,7 @@ from tessellon.session import materialise, ship
 
 # Limits of templates.
 MIN_FREQUENCY, MIN_SLOTS, MAX_SLOTS, MAX_SOURCE = 30, 1, 6, 200
-MIN_DEPTH, MAX_DEPTH = 2, 6
+MAX_DEPTH = 6
 DEFAULT_PROXY = "_varName"
 _OWN = re.compile(r"(?:this|self|cls)\s*(?:\.|\?\.|->)\s*$")
 
@@ -103,7 +103,7 @@ def statement_candidates(text: str, language: Language) -> list[tuple[str, list[
         if node.kind != "statement" or not MIN_CHARS <= node.end - node.start <= MAX_SOURCE:
             continue
         zone = bisect.bisect_right(starts, node.start) - 1
-        if zone < 0 or node.start >= ends[zone] or not MIN_DEPTH <= node.depth() <= MAX_DEPTH:
+        if zone < 0 or node.start >= ends[zone] or not language.min_depth <= node.depth() <= MAX_DEPTH:
             continue
         names = {n.start - node.start for n in node.walk() if n.kind == "identifier"}
         if (found := normalize(text[node.start : node.end], language, collapse=True, names=names)) and len(found[0]) >= MIN_CHARS:

@@ -29,7 +29,7 @@ def query(oracle: str | None = None):
 
 
 #: Two words around a linking one: the linking words stay, the others are slots.
-PROSE = Language(name="prose", extension=".txt", comments=(), strings=(r"\x00",), candidates=(r"[a-z]+ (?:the|of|and) [a-z]+",), seeds=(), structural=words("the of and"), ident=r"[a-z]+", type_first=False)
+PROSE = Language(name="prose", extension=".txt", comments=(), strings=(r"\x00",), candidates=(r"[a-z]+ (?:the|of|and) [a-z]+",), seeds=(), structural=words("the of and"), ident=r"[a-z]+", min_depth=1, type_first=False)
 
 _USES = rf"""{CORPUS}, found AS (SELECT file_id, repo, unnest(regexp_extract_all(content, '[a-z]+ (?:the|of|and) [a-z]+')) AS m FROM corpus),
 parts AS (SELECT *, string_split(m, ' ') AS w FROM found WHERE length(m) >= 8),
@@ -173,7 +173,4 @@ def languages(spark, sf_dir):
 @query()
 def build_dictionary(spark, sf_dir):
     """Every channel on ``documents``, statements included, scored and rebuilt: kind, ord, content, macro, slots, category."""
-    from tessellon import languages as registry
-
-    registry.register(PROSE)
-    return build.build_dictionary(documents(spark, sf_dir), "prose")[0]
+    return build.build_dictionary(documents(spark, sf_dir), PROSE)[0]
