@@ -74,6 +74,33 @@ def test_ann_with_many_pivots(spark):
     assert np.mean([len(found[q] & set(w)) / 5 for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [500, 3000])
+def test_ann_against_the_plain_index(spark, n):
+    """Random vectors, the hard case: recall against a full search, and the same answer as the index written plainly."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    rows = _vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(x)])
+    chosen = ann.choose_pivots(ann.valid(rows))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.argsort(-(unit @ chosen.T), axis=1, kind="stable")
+    place = np.argsort(near, axis=1)
+    found, most = {}, 0
+    for r in ann.search(rows).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, n, 50):
+        opened, files = set(near[q, : ann.OPENED].tolist()), {}
+        for i in range(n):
+            met = [p for p in near[i, : ann.POSTED].tolist() if p in opened]
+            if met and i != q:
+                files.setdefault(met[0], []).append((int(np.abs(place[i] - place[q]).sum()), i))
+        kept = [i for f in files.values() for _, i in sorted(f)[: ann.KEEP]]
+        most = max(most, len(kept))
+        assert [found[q][r] for r in range(1, 6)] == sorted(kept, key=lambda i: -(unit[i] @ unit[q]))[:5]
+    assert most <= ann.OPENED * ann.KEEP and (n < 3000 or most < 0.35 * n)
+    want = _exact(dict(enumerate(unit)))
+    assert np.mean([len(set(found[q].values()) & set(w)) / 5 for q, w in want.items()]) >= 0.9
+
+
 def brute_mix(rows):
     import hashlib
     import re
