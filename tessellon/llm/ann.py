@@ -137,6 +137,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIV
     posts = index.select("vec_id", "v", "place", F.posexplode(F.slice("near", 1, POSTED)).alias("post", "pivot"))
     asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "v", "place", F.explode(F.slice("near", 1, opened)).alias("pivot"))
     counts = posts.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx")).join(asked.groupBy("pivot").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("nq")), "pivot")
+    counts = F.broadcast(counts)  # a row a pivot
     posts = posts.join(counts, "pivot").select("vec_id", "v", "place", "post", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
     asked = asked.join(counts, "pivot").select("vec_id", "v", "place", "pivot", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("vec_id"), F.col("nq")).cast("int").alias("bq"))
     asked = asked.toDF(*[f"q_{c}" for c in asked.columns])
