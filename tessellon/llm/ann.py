@@ -94,8 +94,11 @@ def orders(rows: DataFrame, pivots: np.ndarray, opened: int = OPENED) -> DataFra
 
 
 def _footrule(places: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Footrule distance of one order to each column of ``places`` (a row a pivot)."""
-    return np.abs(places - place[:, None]).sum(0, dtype=np.int32)
+    """Footrule distance of one order to each row of ``places``. Orders of up to 256 pivots are at most
+    32,768 apart, so that sixteen bits hold the sum."""
+    if places.dtype == np.int16:
+        return np.abs(places - place).view(np.uint16).sum(1, dtype=np.uint16)
+    return np.abs(places - place).sum(1, dtype=np.int64)
 
 
 def _ranked(asked: pa.Table, posts: pa.Table, k: int, keep: int = KEEP, opened: int = OPENED, kind: type = np.uint8):
@@ -112,14 +115,14 @@ def _ranked(asked: pa.Table, posts: pa.Table, k: int, keep: int = KEEP, opened:
 
     x, q, px, pq = matrix(posts)[by], matrix(asked), places(posts)[by], places(asked)
     # The pivots of a vector's earlier posts, -1 where there are none: the last place of ``open_``, never set.
-    earlier = np.where(px < np.asarray(posts.column("post"))[by][:, None], np.arange(px.shape[1]), -1)
-    earlier = -np.sort(-earlier, axis=1)[:, : POSTED - 1]
-    columns = np.ascontiguousarray(px.T)
+    earlier = np.full((len(ids), POSTED), -1)
+    for row, pivots in zip(earlier, posts.column("earlier").take(by).to_pylist(), strict=True):
+        row[: len(pivots)] = pivots
     for j, query in enumerate(asked.column("vec_id").to_pylist()):
         open_ = np.append(pq[j] < opened, False)
         mine = np.flatnonzero(~open_[earlier].any(1) & (ids != query))
         if keep < len(mine):
-            far = _footrule(columns[:, mine], pq[j])
+            far = _footrule(px[mine], pq[j])
             edge = np.partition(far, keep - 1)[keep - 1]
             mine = mine[np.concatenate([np.flatnonzero(far < edge), np.flatnonzero(far == edge)])[:keep]]
         cosine = _cosines(x[mine], q[j])
@@ -134,11 +137,12 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIV
     chosen = choose_pivots(rows, pivots)
     places = _place_type(len(chosen))
     index = materialise(orders(rows, chosen, opened), "orders")
-    posts = index.select("vec_id", "v", "place", F.posexplode(F.slice("near", 1, POSTED)).alias("post", "pivot"))
+    posts = index.select("vec_id", "v", "place", "near", F.posexplode(F.slice("near", 1, POSTED)).alias("post", "pivot"))
+    posts = posts.withColumn("earlier", F.slice("near", F.lit(1), F.col("post"))).drop("near", "post")
     asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "v", "place", F.explode(F.slice("near", 1, opened)).alias("pivot"))
     counts = posts.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx")).join(asked.groupBy("pivot").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("nq")), "pivot")
     counts = F.broadcast(counts)  # a row a pivot
-    posts = posts.join(counts, "pivot").select("vec_id", "v", "place", "post", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
+    posts = posts.join(counts, "pivot").select("vec_id", "v", "place", "earlier", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
     asked = asked.join(counts, "pivot").select("vec_id", "v", "place", "pivot", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("vec_id"), F.col("nq")).cast("int").alias("bq"))
     asked = asked.toDF(*[f"q_{c}" for c in asked.columns])
     key = ["pivot", "bx", "bq"]
