@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions.text import TOKEN, is_valid_ngram, is_valid_pattern
 from tessellon.operators import candidates, dictionary, ngrams
+from tessellon.operators.frequent import frequent_patterns
 from tessellon.plans.corpus import CORPUS, SEGMENTS
 from tessellon.sources.corpus import documents
 
@@ -57,8 +58,7 @@ counted AS (
 
 @query(f"WITH {_COUNTED} SELECT * FROM counted WHERE frequency >= 50")
 def ngram_pass2(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return ngrams.pass2(d, ngrams.pass1(d, 50)).where("frequency >= 50")
+    return frequent_patterns(documents(spark, sf_dir), 50, ngrams.MAX_PATTERN_LENGTH)
 
 
 _SCORED = "SELECT pattern, frequency, token_count, frequency * (token_count - 1) AS score, repo_count FROM (SELECT *, CAST({tokens} AS INTEGER) AS token_count FROM {rows} WHERE frequency >= {f} AND repo_count >= 2 AND {valid}) WHERE token_count >= 3"
