@@ -75,8 +75,7 @@ def ngram_scored(spark, sf_dir):
   WHEN {TOKENS.format("pattern")} < 3 THEN 'tokens' ELSE 'kept' END AS reason, count(*) AS n FROM counted WHERE frequency >= 50 GROUP BY 1"""
 )
 def ngram_rejections(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return candidates.rejection_counts(ngrams.pass2(d, ngrams.pass1(d, 50)).where("frequency >= 50"), valid=is_valid_ngram(F.col("pattern")))
+    return candidates.rejection_counts(frequent_patterns(documents(spark, sf_dir), 50, ngrams.MAX_PATTERN_LENGTH), valid=is_valid_ngram(F.col("pattern")))
 
 
 _FOUND = " UNION ALL ".join(f"SELECT file_id, repo, unnest(regexp_extract_all(content, '{r}')) AS raw FROM corpus" for r in REGEXES)
