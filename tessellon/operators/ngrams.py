@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions.text import MIN_CHARS, MIN_FREQUENCY, MIN_REPOS, MIN_TOKEN_SPAN, is_valid_ngram, is_word_boundary_start
 from tessellon.operators.candidates import score_counted, top
+from tessellon.operators.frequent import frequent_patterns
 from tessellon.operators.segments import safe_segments
 from tessellon.session import ship
 
@@ -135,8 +136,7 @@ def scored_ngrams(corpus: DataFrame, min_frequency: int = MIN_FREQUENCY, min_rep
 
     The census runs with the larger of both thresholds: a pattern is never in more files than its
     first eight characters, so the result is the same with far fewer survivors."""
-    survivors = pass1(corpus, max(pass1_threshold, min_frequency))
-    counted = pass2(corpus, survivors, max_length)
+    counted = frequent_patterns(corpus, max(pass1_threshold, min_frequency), max_length)
     return score_counted(counted, min_frequency, min_repos, min_tokens, is_valid_ngram(F.col("pattern")))
 
 
