@@ -35,7 +35,7 @@ def is_single_word(text: Column) -> Column:
 
 def is_valid_pattern(text: Column) -> Column:
     """No line ends, at least eight characters, not blank, more than one word."""
-    return ~text.rlike(r"[\r\n]") & (F.length(text) >= MIN_CHARS) & (strip_unicode(text) != "") & ~is_single_word(text)
+    return ~text.rlike(r"[\r\n]") & (F.length(text) >= MIN_CHARS) & text.rlike(r"(?U)\S") & ~is_single_word(text)
 
 
 def blanks(text: Column) -> Column:

@@ -26,7 +26,7 @@ ROUNDS, PAIRS, AT_ONCE, A_BUCKET, A_PART, CHUNK = ((8, 12, 16), (24, 40, 72)), 2
 #: Bits of a table's index, and how many fewer longer windows need.
 LEAST_BITS, MOST_BITS, FEWER = 16, 27, {24: 3, 40: 3, 72: 3}
 #: Counted patterns and batches that a task holds before it hands them on; repos that are numbered.
-HELD, HELD_BATCHES, MOST_REPOS = 1_250_000, 24, 100_000
+HELD, HELD_BATCHES, MOST_REPOS = 1_000_000, 12, 100_000
 
 _WORD, _BLANK, _END = 1, 2, 4
 _BASE = 0x9E3779B97F4A7C15

@@ -452,3 +452,9 @@ def test_meta_of_an_evaluation_only_run(spark):
     assert (m.split_method, m.train_files, m.char_reduction_pct) == ("all_train", 0, 0.0)
     gone = c.withColumn("content", F.when(F.col("file_id") > 0, F.col("content"))).withColumn("compressed", F.when(F.col("file_id") > 0, F.col("compressed")))
     assert prepare.meta(prepare.mix(gone, ["e"]), 3).first().errors == 1
+
+
+@pytest.mark.parametrize("blank", [" " * 9, "\t   　\u0085 \t\t", " " * 8])
+def test_a_pattern_of_blanks_alone_is_not_valid(spark, blank):
+    assert col(spark, text.is_valid_pattern(F.col("p")), p=blank) is False
+    assert col(spark, text.is_valid_pattern(F.col("p")), p=blank + "a b") is True

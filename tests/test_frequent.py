@@ -43,7 +43,7 @@ def test_small_batches_and_repos_by_hash(spark, monkeypatch, numbered):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["ngram_pass2", "ngram_rejections", "ngram_scored"])
+@pytest.mark.parametrize("name", ["ngram_pass2", "ngram_rejections", "ngram_scored", "merge_mining_results", "candidate_union", "dictionary_stats"])
 def test_rare_patterns_are_no_rows_of_a_shuffle(spark, tmp_path, name):
     """Files of common words in an order of their own: thousands of patterns, of which few are in many files."""
     rows = [(i, " ".join(f"{'abcdefgh'[(i * k) % 8]}ommon{'xyz'[(i + k * k) % 3]}" for k in range(60)), "en", f"src{i % 3}", 0) for i in range(120)]
