@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tessellon.languages import Language, get_language
 from tessellon.operators import candidates, codec, dictionary, ngrams, scoring, templates
 from tessellon.operators.lexer import safe_corpus, safe_ranges_udf
-from tessellon.session import materialise
+from tessellon.session import drop, materialise
 
 # How many entries a channel may hand on.
 INTERNAL_LIMIT, MAX_TEMPLATES, MAX_STATEMENTS, MAX_ENTRIES = 10_000, 500, 1000, 999
 
 
-def candidate_dictionary(corpus: DataFrame, language: str | Language, seeds: bool = True, use_ngrams: bool = True, use_templates: bool = True, use_statements: bool = True, min_frequency: int = 50, min_repos: int = 2, template_frequency: int = 30) -> DataFrame:
+def candidate_dictionary(corpus: DataFrame, language: str | Language, seeds: bool = True, use_ngrams: bool = True, use_templates: bool = True, use_statements: bool = True, min_frequency: int = 50, min_repos: int = 2, template_frequency: int = 30, safe: DataFrame | None = None) -> DataFrame:
     """Seeds, then exact candidates of both channels, then templates, then statement templates. Exact
-    candidates come from safe zones only: a macro for what stands in a comment or a string is never used."""
+    candidates come from safe zones only: a macro for what stands in a comment or a string is never used. ``safe`` is
+    ``safe_corpus`` of the corpus, where a caller has it."""
     lang = get_language(language) if isinstance(language, str) else language
     spark = corpus.sparkSession
-    safe = safe_corpus(corpus, lang)
+    safe = safe_corpus(corpus, lang) if safe is None else safe
     channels = []
     if seeds and lang.seeds:
         rows = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(lang.seeds)], "rank long, content string, category string")
@@ -48,7 +49,10 @@ def compress_corpus(corpus: DataFrame, entries: DataFrame, language: str | Langu
 def build_dictionary(corpus: DataFrame, language: str | Language, auto: bool = True, min_files: int = 0, min_repos: int = 2, max_entries: int = MAX_ENTRIES, scores_path: str | None = None, **channels) -> tuple[DataFrame, DataFrame]:
     """(dictionary, scores): candidates of every channel, scored on the corpus, rebuilt from the best.
     ``auto`` chooses the least file count that keeps 90 % of the impact."""
-    entries = materialise(candidate_dictionary(corpus, language, min_repos=min_repos, **channels), "entries")
+    lang = get_language(language) if isinstance(language, str) else language
+    safe = materialise(safe_corpus(corpus, lang), "safe")  # mining reads it several times
+    entries = materialise(candidate_dictionary(corpus, language, min_repos=min_repos, safe=safe, **channels), "entries")
+    drop(safe)
     scores = materialise(scoring.score_macros(compress_corpus(corpus, entries, language), entries), "scores")
     if scores_path:
         scores.write.mode("overwrite").parquet(scores_path)
