@@ -36,6 +36,8 @@ INTRO = r"(?:wrote|writes|said|schrieb|escribió|a écrit)[\x20\x09]*:[\x20\x09]
 SPACE = r"[\x20\x09-\x0D]+"
 #: Positions in a part of a conversation, and turns in a block of a thread that is ranked by itself.
 PART, BLOCK = 64, 1024
+#: Conversations that quote are broadcast up to this many; what is said in others is not looked at then.
+MOST_QUOTING = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -73,12 +75,20 @@ def _parts(text: Column) -> Column:
 
 
 def quotations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parts of quoted passages (_k, conv_id, turn, level, run, par, line, h), and first sayings (conv_id, h, said)."""
-    passages = rows.where("NOT intro").groupBy("_k", "conv_id", "turn", "level", "run").agg(_joined().alias("text"))
+    """Parts of quoted passages (_k, conv_id, turn, level, run, par, line, h), and first sayings (conv_id, h, said)
+    of the conversations that quote, or of all where those are too many."""
+
+    def passages(lines: DataFrame) -> DataFrame:
+        return lines.where("NOT intro").groupBy("_k", "conv_id", "turn", "level", "run").agg(_joined().alias("text"))
+
     filled = normalised(F.col("text")) != ""
-    quoted = passages.where("level > 0").select("_k", "conv_id", "turn", "level", "run", F.explode(_parts(F.col("text"))).alias("part"))
+    quoted, said = rows.where("level > 0"), rows.where("level = 0")
+    those = quoted.where("conv_id IS NOT NULL").select("conv_id").distinct()
+    if those.limit(MOST_QUOTING + 1).count() <= MOST_QUOTING:
+        said = said.join(F.broadcast(those), "conv_id", "left_semi")
+    quoted, said = passages(quoted), passages(said)
+    quoted = quoted.select("_k", "conv_id", "turn", "level", "run", F.explode(_parts(F.col("text"))).alias("part"))
     quoted = quoted.select("_k", "conv_id", "turn", "level", "run", "part.*").where(filled).withColumn("h", _hash(F.col("text"))).drop("text")
-    said = passages.where("level = 0")
     pieces = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[\x20\x09]*\n"), F.split("text", r"\n")))
     said = said.select("conv_id", "turn", F.explode(pieces).alias("text")).where(filled)
     return quoted, said.select("conv_id", "turn", _hash(F.col("text")).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("said"))

@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellon.session import drop, materialise, ship
+from tessellon.session import clean_shuffles, drop, materialise, ship
 
 #: Rows in one Arrow batch: documents are whole texts, so a batch stays at some megabytes.
 ARROW_ROWS = 256
@@ -22,7 +22,7 @@ def tune(spark: SparkSession) -> SparkSession:
     """Ship the code, bound an Arrow batch by rows, since one row can hold a very long text, and let
     shuffle files go with the execution that made them."""
     ship(spark)
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    clean_shuffles(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions.text import MIN_CHARS
-from tessellon.session import ship
+from tessellon.session import clean_shuffles, ship
 
 # Window lengths by round; patterns shorter than PAIRS have a sketch of their own; characters
 # that are looked at together; characters for each bucket and part; buckets in a row of a table.
@@ -368,7 +368,7 @@ def frequent_patterns(corpus: DataFrame, threshold: int, longest: int) -> DataFr
     word's end in a stripped line, that is in at least ``threshold`` files."""
     spark = corpus.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    clean_shuffles(spark)
     texts = corpus.select("content", "repo")
     size = texts.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     bits = min(max((size // A_BUCKET).bit_length(), LEAST_BITS), MOST_BITS)

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ENDS_EARLY = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tessellon") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, bring your own."""
@@ -37,12 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go with the end of the execution that made them. No stage may outlive it then: an
+    adaptive plan would end as soon as one side of a join is known to be empty, and leave the other
+    side's stage on the cores, reading shuffle files that are gone."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    excluded = spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None) or ""
+    if ENDS_EARLY not in excluded:
+        spark.conf.set("spark.sql.adaptive.optimizer.excludedRules", ",".join(filter(None, [excluded, ENDS_EARLY])))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there, and lost
     executors lose none of it. Shuffle files go with the end of the execution that made them; the table
     goes by ``drop``, or with the application."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    clean_shuffles(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

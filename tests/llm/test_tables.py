@@ -1,11 +1,13 @@
 """Search, mixing, chats and the pipeline."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessellon.llm import ann, chat, mixing, registry
 from tests.llm.util import HARD, docs
@@ -227,6 +229,41 @@ def test_chats_link_trimmed_quotes(spark):
     assert [(got[t].parent_turn, got[t].n_quotes, got[t].n_linked) for t in range(7)] == [(-1, 0, 0), (0, 1, 1), (0, 1, 1), (-1, 1, 0), (1, 1, 1), (-1, 1, 0), (-1, 0, 0)]
 
 
+def test_only_conversations_that_quote_are_searched(spark, monkeypatch):
+    rows = [(1, 0, "u", "one"), (1, 1, "a", "> one\ntwo"), (2, 0, "u", "one"), (2, 1, "a", "two"), (3, 0, "u", "> one"), (None, 0, "u", "> one")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parsed = chat.lines(c.withColumn("_k", F.concat_ws(":", "conv_id", "turn")))
+    assert {r.conv_id for r in chat.quotations(parsed)[1].collect()} == {1}
+    few = sorted(map(tuple, chat.format_chats(c).collect()), key=str)
+    monkeypatch.setattr(chat, "MOST_QUOTING", 1)
+    assert {r.conv_id for r in chat.quotations(parsed)[1].collect()} == {1, 2}
+    assert sorted(map(tuple, chat.format_chats(c).collect()), key=str) == few
+    assert [r[5] for r in few if r[:1] + r[3:4] == (1, 1)] == [0]
+
+
+def test_no_stage_outlives_its_execution(spark):
+    """One side of a join turns out to be empty while the other is still read from a shuffle."""
+    from tessellon.session import materialise
+
+    def slow(seconds):
+        def run(batches):
+            time.sleep(seconds)
+            yield from batches
+
+        return run
+
+    empty = spark.range(0, 100, 1, 1).mapInArrow(slow(2), "id long").where("id < 0").groupBy("id").agg(F.count("*").alias("n"))
+    busy = spark.range(0, 100, 1, 2).repartition(4, "id").mapInArrow(slow(5), "id long").groupBy((F.col("id") % 7).alias("id")).agg(F.count("*").alias("m"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = materialise(empty.join(busy, "id", "left"), "outlived")
+        assert list(spark.sparkContext.statusTracker().getActiveStageIds()) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert out.count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
