@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.functions.text import MIN_FREQUENCY, MIN_REPOS, MIN_TOKEN_SPAN, is_valid_pattern, strip, token_count
+from tessellon.functions.text import MIN_CHARS, MIN_FREQUENCY, MIN_REPOS, MIN_TOKEN_SPAN, is_valid_pattern, strip, token_count
 
 
-def candidates(text: Column, regexes: tuple[str, ...]) -> Column:
+def candidates(text: Column, regexes: tuple[str, ...], valid=is_valid_pattern) -> Column:
     """The distinct valid matches of any expression: each scans on its own, so they may overlap."""
     found = [F.regexp_extract_all(text, F.lit(r), F.lit(0)) for r in regexes]
     flat = F.transform(F.concat(*found), strip)
-    return F.array_distinct(F.filter(flat, is_valid_pattern))
+    return F.array_distinct(F.filter(flat, valid))
 
 
 def document_frequency(rows: DataFrame, value: str) -> DataFrame:
@@ -24,12 +24,19 @@ def document_frequency(rows: DataFrame, value: str) -> DataFrame:
     return by_repo.groupBy(value).agg(F.sum("n").alias("frequency"), F.count("*").alias("repo_count"))
 
 
-def regex_candidates(corpus: DataFrame, regexes: tuple[str, ...]) -> DataFrame:
+def regex_candidates(corpus: DataFrame, regexes: tuple[str, ...], valid=is_valid_pattern) -> DataFrame:
     """pattern, frequency, repo_count."""
-    rows = corpus.select("repo", F.explode(candidates(F.col("content"), regexes)).alias("pattern"))
+    rows = corpus.select("repo", F.explode(candidates(F.col("content"), regexes, valid)).alias("pattern"))
     return document_frequency(rows, "pattern")
 
 
+def scored_candidates(corpus: DataFrame, regexes: tuple[str, ...], *limits, **named) -> DataFrame:
+    """``score_counted`` of ``regex_candidates``, with its limits: before they are counted, matches are
+    told apart by length alone, and only those that are in enough files and repos are looked at further."""
+    counted = regex_candidates(corpus, regexes, lambda m: F.length(m) >= MIN_CHARS)
+    return score_counted(counted, *limits, valid=is_valid_pattern(F.col("pattern")), **named)
+
+
 def rejection(min_frequency: int, min_repos: int, min_tokens: int, valid: Column | None = None) -> Column:
     """The first rule that a counted pattern breaks, or ``kept``."""
     out = F.when(F.col("frequency") < min_frequency, "frequency")
@@ -40,11 +47,11 @@ def rejection(min_frequency: int, min_repos: int, min_tokens: int, valid: Column
 
 def score_counted(counted: DataFrame, min_frequency: int = MIN_FREQUENCY, min_repos: int = MIN_REPOS, min_tokens: int = MIN_TOKEN_SPAN, valid: Column | None = None) -> DataFrame:
     """pattern, frequency, token_count, score, repo_count of what breaks no rule. Tokens are counted
-    after the cheap rules, on distinct patterns."""
-    rows = counted.where((F.col("frequency") >= min_frequency) & (F.col("repo_count") >= min_repos))
-    if valid is not None:
-        rows = rows.where(valid)
-    rows = rows.withColumn("token_count", token_count(F.col("pattern"))).where(F.col("token_count") >= min_tokens)
+    after the cheap rules, on distinct patterns: a condition on the pattern alone would be moved below
+    the counting, to every match, so it depends on the counts."""
+    often = (F.col("frequency") >= min_frequency) & (F.col("repo_count") >= min_repos)
+    stays = F.when(often if valid is None else often & valid, F.col("pattern"))
+    rows = counted.where(often).where(stays.isNotNull()).withColumn("token_count", token_count(stays)).where(F.col("token_count") >= min_tokens)
     return rows.select("pattern", "frequency", "token_count", (F.col("frequency") * (F.col("token_count") - 1)).alias("score"), "repo_count")
 
 

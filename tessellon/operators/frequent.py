@@ -22,11 +22,11 @@ from tessellon.session import clean_shuffles, ship
 
 # Window lengths by round; patterns shorter than PAIRS have a sketch of their own; characters
 # that are looked at together; characters for each bucket and part; buckets in a row of a table.
-ROUNDS, PAIRS, AT_ONCE, A_BUCKET, A_PART, CHUNK = ((8, 12, 16), (24, 40, 72)), 24, 1 << 20, 64, 1 << 24, 1 << 16
+ROUNDS, PAIRS, AT_ONCE, A_BUCKET, A_PART, CHUNK = ((8, 12, 16), (24, 40, 72)), 24, 1 << 16, 64, 1 << 24, 1 << 16
 #: Bits of a table's index, and how many fewer longer windows need.
 LEAST_BITS, MOST_BITS, FEWER = 16, 27, {24: 3, 40: 3, 72: 3}
 #: Counted patterns and batches that a task holds before it hands them on; repos that are numbered.
-HELD, HELD_BATCHES, MOST_REPOS = 1_000_000, 12, 100_000
+HELD, HELD_BATCHES, MOST_REPOS = 1_000_000, 192, 100_000
 
 _WORD, _BLANK, _END = 1, 2, 4
 _BASE = 0x9E3779B97F4A7C15
@@ -48,7 +48,7 @@ class _Tables:
             cls.values = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, 0x110000, np.uint64)
         if len(cls.power) < n:
             for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                factors = np.full(max(n, AT_ONCE + (AT_ONCE >> 2)), base, np.uint64)
+                factors = np.full(max(n, AT_ONCE) * 5 >> 2, base, np.uint64)
                 factors[0] = 1
                 setattr(cls, name, np.cumprod(factors))
 
@@ -132,7 +132,7 @@ def _among(known, x, bits):
 
 
 def _in_batches(batches):
-    """Lists of texts with lists of the other column's values, some million characters at a time."""
+    """Lists of texts with lists of the other column's values, AT_ONCE characters at a time: few enough that their arrays stay in the processor's cache."""
     texts, others, size = [], [], 0
     for b in batches:
         for text, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -112,7 +112,7 @@ _MERGED = """SELECT pattern, arg_max(frequency, frequency * 2 + c) AS frequency,
 
 def _merged(spark, sf_dir):
     d = documents(spark, sf_dir)
-    regex = candidates.score_counted(candidates.regex_candidates(d, REGEXES), 3)
+    regex = candidates.scored_candidates(d, REGEXES, 3)
     return candidates.merge_results(regex, ngrams.scored_ngrams(d))
 
 

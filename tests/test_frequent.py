@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessellon.operators import frequent
+from tessellon.functions.text import TOKEN, token_count
+from tessellon.operators import candidates, frequent
+from tessellon.plans.mining import REGEXES
 from tests.test_engine import brute_pass1, brute_pass2, corpus, made
 
 ODD = ["\t  public static \r\n \n\n   \n", "é𝄞 of the é𝄞 of the", "", "static river\u0000stone of\tthe" * 3, "  " * 40, "public static " * 30]
@@ -51,3 +54,18 @@ def test_rare_patterns_are_no_rows_of_a_shuffle(spark, tmp_path, name):
     plan = __spark_entry__.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"MapInArrow run\(content#\d+, repo#\d+\)#\d+, \[pattern#\d+, repo#", plan)
     assert re.search(r"MapInArrow run\(content#\d+, repo#\d+\)#\d+, \[part#", plan)
+
+
+@pytest.mark.parametrize("limits", [(3, 2, 3), (1, 1, 0), (2, 1, 4)])
+def test_only_frequent_candidates_are_looked_at(spark, limits):
+    """No pattern is checked or split into tokens before it is counted, and the results are those of checking all."""
+    texts = ["Stone of the river\tand the stone", "Stone of the river and the stone", "all rights of reed", "a of b the  of the", "x", ""] * 3 + made(6, 30)
+    d = corpus(spark, texts, ["r0", "r1", "r2"])
+    rows = candidates.scored_candidates(d, REGEXES, *limits)
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [pattern")[-1]
+    assert "explode" in below and TOKEN not in below and r"(?U)" not in below
+    want = candidates.regex_candidates(d, REGEXES).withColumn("token_count", token_count(F.col("pattern")))
+    want = want.where((F.col("frequency") >= limits[0]) & (F.col("repo_count") >= limits[1]) & (F.col("token_count") >= limits[2]))
+    want = want.select("pattern", "frequency", "token_count", (F.col("frequency") * (F.col("token_count") - 1)).alias("score"), "repo_count")
+    got = sorted(map(tuple, rows.collect()))
+    assert got == sorted(map(tuple, want.collect())) and got
