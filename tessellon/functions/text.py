@@ -19,9 +19,14 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), F.lit(0))
 
 
+def has_tokens(text: Column, n: int) -> Column:
+    """Whether ``token_count`` is ``n`` at least; only so many tokens are looked at. Null has none, and is never enough."""
+    return text.rlike(rf"\A(?:{TOKEN.replace('+', '++')}){{{n}}}") if n > 0 else text.isNotNull()
+
+
 def strip(text: Column) -> Column:
     """Without the white space around it, by one explicit class on every engine."""
-    return F.regexp_replace(text, r"^[ \t\r]+|[ \t\r]+$", "")
+    return F.btrim(text, F.lit(" \t\r"))
 
 
 def strip_unicode(text: Column) -> Column:

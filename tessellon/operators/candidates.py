@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.functions.text import MIN_CHARS, MIN_FREQUENCY, MIN_REPOS, MIN_TOKEN_SPAN, is_valid_pattern, strip, token_count
+from tessellon.functions.text import MIN_CHARS, MIN_FREQUENCY, MIN_REPOS, MIN_TOKEN_SPAN, has_tokens, is_valid_pattern, strip, token_count
+
+
+def leaping(regex: str) -> str:
+    """An expression with the same matches that is not tried again inside a run of letters where it has
+    failed. An expression that begins with a run of a class and a space has to take the run to its end, so
+    it fails within a run if it fails where the run, or what the last match left of it, begins."""
+    run = re.match(r"(\[[A-Za-z0-9_-]+\])\+(?= (?![*?{]))", regex)
+    outer = re.sub(r"\\.|\[[^\]]*\]", "", regex)
+    while (inner := re.sub(r"\([^()]*\)", "", outer)) != outer:
+        outer = inner
+    if not run or "|" in outer:
+        return regex
+    return rf"(?:(?<!{run[1]})|\G){run[1]}++{regex[run.end() :]}"
 
 
 def candidates(text: Column, regexes: tuple[str, ...], valid=is_valid_pattern) -> Column:
     """The distinct valid matches of any expression: each scans on its own, so they may overlap."""
-    found = [F.regexp_extract_all(text, F.lit(r), F.lit(0)) for r in regexes]
+    found = [F.regexp_extract_all(text, F.lit(leaping(r)), F.lit(0)) for r in regexes]
     flat = F.transform(F.concat(*found), strip)
     return F.array_distinct(F.filter(flat, valid))
 
@@ -51,7 +65,7 @@ def score_counted(counted: DataFrame, min_frequency: int = MIN_FREQUENCY, min_re
     the counting, to every match, so it depends on the counts."""
     often = (F.col("frequency") >= min_frequency) & (F.col("repo_count") >= min_repos)
     stays = F.when(often if valid is None else often & valid, F.col("pattern"))
-    rows = counted.where(often).where(stays.isNotNull()).withColumn("token_count", token_count(stays)).where(F.col("token_count") >= min_tokens)
+    rows = counted.where(often).where(has_tokens(stays, min_tokens)).withColumn("token_count", token_count(F.col("pattern")))
     return rows.select("pattern", "frequency", "token_count", (F.col("frequency") * (F.col("token_count") - 1)).alias("score"), "repo_count")
 
 

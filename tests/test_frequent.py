@@ -1,12 +1,13 @@
 """Frequent patterns against plain Python, on any number of repos, files and batches."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessellon.functions.text import TOKEN, token_count
+from tessellon.functions.text import TOKEN, has_tokens, strip, token_count
 from tessellon.operators import candidates, frequent
 from tessellon.plans.mining import REGEXES
 from tests.test_engine import brute_pass1, brute_pass2, corpus, made
@@ -69,3 +70,22 @@ def test_only_frequent_candidates_are_looked_at(spark, limits):
     want = want.select("pattern", "frequency", "token_count", (F.col("frequency") * (F.col("token_count") - 1)).alias("score"), "repo_count")
     got = sorted(map(tuple, rows.collect()))
     assert got == sorted(map(tuple, want.collect())) and got
+
+
+def test_expressions_that_leap_have_the_same_matches(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["of", "the", "and", " ", " ", "A", "b", "-", "\n", "é", "Stone", "  "]) for _ in range(60)) for _ in range(400)] + ["a of bCd of e", "a of theAbc of the", "", "stone" * 50 + " of x"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert candidates.leaping(REGEXES[0]) != REGEXES[0] and candidates.leaping(REGEXES[1]) == REGEXES[1]
+    for regex in (*REGEXES, "[A-Za-z]+ of", "[a-z]+ +[a-z]+", "[a-z]+ ?b", "[a-z]+ of|the", "[A-Za-z]+ (?:of|the)(?: [A-Z])?"):
+        rows = d.select(F.regexp_extract_all("t", F.lit(regex), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(candidates.leaping(regex)), F.lit(0)).alias("b")).collect()
+        assert all(x.a == x.b for x in rows) and any(x.a for x in rows) or regex == REGEXES[2], regex
+
+
+def test_enough_tokens_without_counting_all(spark):
+    texts = [None, "", "a", "ab1", "a1 ", "ab cd", "12", "123", "--- é\t\n x", "\n", "a\n1", "éé1é"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in range(1, 5):
+        assert [bool(x[0]) for x in d.select(has_tokens(F.col("t"), n)).collect()] == [x[0] >= n for x in d.select(token_count(F.col("t"))).collect()]
+    ends = ["Released \u2028", "\t a \r", "\u0085 ", " \n "]
+    assert [x[0] for x in spark.createDataFrame([(t,) for t in ends], "t string").select(strip(F.col("t"))).collect()] == [t.strip(" \t\r") for t in ends]
