@@ -5,7 +5,8 @@ windows may be frequent: a task counts them in a table of buckets, tables are ad
 under the threshold rules out all that falls into it (buckets only ever count too much). Each round looks
 only at what earlier ones left. The last round counts what is left of the patterns themselves: a row for
 each part of them, with texts, lengths, counts and repos. All rounds run over code point arrays.
-Patterns are told apart by 64-bit hashes; two of one hash would be counted as one.
+Patterns are told apart by 64-bit hashes; two of one hash would be counted as one. A least score raises
+the thresholds: a pattern has at most as many tokens as characters.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tessellon.session import clean_shuffles, ship
 # Window lengths by round; patterns shorter than PAIRS have a sketch of their own; characters
 # that are looked at together; characters for each bucket and part; buckets in a row of a table.
 ROUNDS, PAIRS, AT_ONCE, A_BUCKET, A_PART, CHUNK = ((8, 12, 16), (24, 40, 72)), 24, 1 << 16, 64, 1 << 24, 1 << 16
+#: What a bucket of one task counts up to.
+FULL = 255
 #: Bits of a table's index, and how many fewer longer windows need.
 LEAST_BITS, MOST_BITS, FEWER = 16, 27, {24: 3, 40: 3, 72: 3}
 #: Counted patterns and batches that a task holds before it hands them on; repos that are numbered.
@@ -103,7 +106,7 @@ class _Files(_Hashed):
         self.line_end, self.file = np.repeat(end, n), np.repeat(file, n)
 
     def reach(self, longest: int, windows: list):
-        """How far patterns may go from each start: not past the end of an infrequent window."""
+        """How far patterns may go from each start: not past the end of an infrequent window. Starts from which none goes are left out."""
         reach = np.minimum(self.line_end, self.start + longest)
         for length, bits, known in windows:
             on = np.flatnonzero(reach >= self.start + length)  # the others are held back already
@@ -112,6 +115,9 @@ class _Files(_Hashed):
             held = np.full(len(reach), np.iinfo(np.int64).max)
             held[on[rare]] = start[rare] + length - 1
             reach = np.minimum(reach, np.minimum.accumulate(held[::-1])[::-1])
+            left = np.flatnonzero(reach >= self.start + MIN_CHARS)
+            if len(left) < len(reach) >> 1:
+                self.start, self.line_end, self.file, reach = (c[left] for c in (self.start, self.line_end, self.file, reach))
         return reach
 
     def pairs(self, reach):
@@ -149,8 +155,11 @@ def _in_batches(batches):
 
 def _add(table, file, x, bits, most):
     """Counts in a table each bucket once for each file."""
-    key = np.sort((file << bits) | _bucket(x, bits))
-    key = np.sort(key[np.flatnonzero(np.diff(key, prepend=-1))] & ((1 << bits) - 1))
+    if not len(file):
+        return
+    width = int(file.max()).bit_length()
+    key = np.sort((_bucket(x, bits) << width) | file)  # by bucket, then file
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))] >> width
     first = np.flatnonzero(np.diff(key, prepend=-1))
     n = np.diff(first, append=len(key))
     key = key[first]
@@ -165,7 +174,9 @@ def _raw(squeezed: bytes) -> bytes:
     return pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), "zstd", asbytes=True)
 
 
-def _sketch(shared, longest, lengths, pairs, bits_of, most):
+def _sketch(shared, longest, lengths, pairs, bits_of, least):
+    most = lambda n: min(least(n), FULL)
+
     def run(batches):
         windows = shared.value
         tables = {n: np.zeros(1 << bits_of(n), np.uint8) for n in (*lengths, *([0] if pairs else []))}
@@ -174,10 +185,10 @@ def _sketch(shared, longest, lengths, pairs, bits_of, most):
             reach = files.reach(longest, windows)
             for n in lengths:
                 on = np.flatnonzero(reach >= files.start + n)
-                _add(tables[n], files.file[on], files.hashes(files.start[on], files.start[on] + n), bits_of(n), most)
+                _add(tables[n], files.file[on], files.hashes(files.start[on], files.start[on] + n), bits_of(n), most(n))
             if pairs:
                 of, end = files.pairs(np.minimum(reach, files.start + PAIRS - 1))
-                _add(tables[0], files.file[of], files.hashes(files.start[of], end), bits_of(0), most)
+                _add(tables[0], files.file[of], files.hashes(files.start[of], end), bits_of(0), most(0))
         for n, table in tables.items():
             for i, part in enumerate(table.reshape(-1, CHUNK)):
                 if part.any():
@@ -186,12 +197,14 @@ def _sketch(shared, longest, lengths, pairs, bits_of, most):
     return run
 
 
-def _sum(threshold):
+def _sum(least):
     def run(rows: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
+        total, full = np.zeros(CHUNK, np.int64), np.zeros(CHUNK, bool)
         for part in rows.column("counts").to_pylist():
-            total += np.frombuffer(_raw(part), np.uint8)
-        known = np.packbits(total >= threshold, bitorder="little")
+            counts = np.frombuffer(_raw(part), np.uint8)
+            total += counts
+            full |= counts == FULL  # it may have been more
+        known = np.packbits(full | (total >= least(rows.column("length")[0].as_py())), bitorder="little")
         return pa.table({"length": rows.column("length")[:1], "chunk": rows.column("chunk")[:1], "known": pa.array([known.tobytes()], pa.binary())})
 
     return run
@@ -321,7 +334,7 @@ def _count(shared, longest, parts):
     return run
 
 
-def _total(threshold):
+def _total(threshold, least_score=0):
     def run(batches):
         held, rows, size = [], [], 0
 
@@ -353,7 +366,7 @@ def _total(threshold):
         new = np.flatnonzero(np.append(True, np.diff(x[order]) != 0))
         one = order[new]
         n, repos = np.add.reduceat(n[order], new, dtype=np.int64), np.add.reduceat(repos[order], new)
-        kept = np.flatnonzero(n >= threshold)
+        kept = np.flatnonzero((n >= threshold) & (n * (length[one].astype(np.int64) - 1) >= least_score))
         for i in range(0, len(kept), 10_000):
             k = kept[i : i + 10_000]
             sizes = length[one[k]].astype(np.int64)
@@ -363,9 +376,10 @@ def _total(threshold):
     return run
 
 
-def frequent_patterns(corpus: DataFrame, threshold: int, longest: int) -> DataFrame:
+def frequent_patterns(corpus: DataFrame, threshold: int, longest: int, least_score: int = 0) -> DataFrame:
     """pattern, frequency, repo_count of every pattern of at most ``longest`` characters, from a word's start to a
-    word's end in a stripped line, that is in at least ``threshold`` files."""
+    word's end in a stripped line, that is in at least ``threshold`` files. Patterns whose frequency * (tokens - 1)
+    is under ``least_score`` may be missing; those that are there have their exact counts."""
     spark = corpus.sparkSession
     ship(spark)
     clean_shuffles(spark)
@@ -373,7 +387,9 @@ def frequent_patterns(corpus: DataFrame, threshold: int, longest: int) -> DataFr
     size = texts.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     bits = min(max((size // A_BUCKET).bit_length(), LEAST_BITS), MOST_BITS)
     bits_of = lambda n: max(bits - FEWER.get(n, 0), LEAST_BITS)
-    least, windows, pairs = min(max(threshold, 1), 255), [], None
+    tokens = lambda n: max((longest if n else min(longest, PAIRS - 1)) - 1, 1)  # noqa: E731 (after the first, of patterns that a table is for)
+    least = lambda n: max(threshold, 1, -(-least_score // tokens(n)))
+    windows, pairs = [], None
     for i, lengths in enumerate(ROUNDS):
         lengths, last = tuple(n for n in lengths if n <= longest), i == len(ROUNDS) - 1
         parts = texts.mapInArrow(_sketch(spark.sparkContext.broadcast(windows), longest, lengths, last, bits_of, least), "length int, chunk int, counts binary")
@@ -388,4 +404,4 @@ def frequent_patterns(corpus: DataFrame, threshold: int, longest: int) -> DataFr
     repos = {r: i for i, r in enumerate(names)} if len(names) <= MOST_REPOS else None
     n = max(spark.sparkContext.defaultParallelism, size // A_PART + 1)
     rows = texts.mapInArrow(_count(spark.sparkContext.broadcast((windows, pairs, repos)), longest, n), _ROW)
-    return rows.repartitionById(n, "part").mapInArrow(_total(threshold), "pattern string, frequency long, repo_count long")
+    return rows.repartitionById(n, "part").mapInArrow(_total(threshold, least_score), "pattern string, frequency long, repo_count long")

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions.text import MIN_CHARS, MIN_FREQUENCY, MIN_REPOS, MIN_TOKEN_SPAN, is_valid_ngram, is_word_boundary_start
-from tessellon.operators.candidates import score_counted, top
+from tessellon.operators.candidates import merge_results, score_counted, top
 from tessellon.operators.frequent import frequent_patterns
 from tessellon.operators.segments import safe_segments
-from tessellon.session import ship
+from tessellon.session import drop, materialise, ship
 
 # Thresholds of the two passes.
 PASS1_THRESHOLD, MAX_PATTERN_LENGTH, GRAM = 15, 120, 8
@@ -29,6 +29,8 @@ PASS1_THRESHOLD, MAX_PATTERN_LENGTH, GRAM = 15, 120, 8
 HELD = 500_000
 #: Survivors that go to every worker; beyond, pass 2 joins them (``pass2_native``).
 MOST_SURVIVORS = 1_000_000
+#: A score is guessed by so many characters, if there are so many times more; by patterns in such a share of their files, and in so many.
+GUESSED_BY, LEAST_SHARE, SHARES_SEEN, LEAST_SEEN = 1 << 24, 8, (64, 256), 8
 
 _STARTS = re.compile(r"(?<![A-Za-z0-9_])(?=(.{8}))", re.S)
 _ENDS = re.compile(r"(?![A-Za-z0-9_])|$", re.S)
@@ -131,13 +133,52 @@ def pass2_native(corpus: DataFrame, survivors: DataFrame, max_length: int = MAX_
     return by_repo.groupBy("pattern").agg(F.sum("n").alias("frequency"), F.count("*").alias("repo_count"))
 
 
-def scored_ngrams(corpus: DataFrame, min_frequency: int = MIN_FREQUENCY, min_repos: int = MIN_REPOS, min_tokens: int = MIN_TOKEN_SPAN, pass1_threshold: int = PASS1_THRESHOLD, max_length: int = MAX_PATTERN_LENGTH) -> DataFrame:
-    """pattern, frequency, token_count, score, repo_count of every n-gram that breaks no rule.
+def scored_ngrams(corpus: DataFrame, min_frequency: int = MIN_FREQUENCY, min_repos: int = MIN_REPOS, min_tokens: int = MIN_TOKEN_SPAN, pass1_threshold: int = PASS1_THRESHOLD, max_length: int = MAX_PATTERN_LENGTH, least_score: int = 0) -> DataFrame:
+    """pattern, frequency, token_count, score, repo_count of every n-gram that breaks no rule and scores ``least_score``.
 
     The census runs with the larger of both thresholds: a pattern is never in more files than its
     first eight characters, so the result is the same with far fewer survivors."""
-    counted = frequent_patterns(corpus, max(pass1_threshold, min_frequency), max_length)
-    return score_counted(counted, min_frequency, min_repos, min_tokens, is_valid_ngram(F.col("pattern")))
+    counted = frequent_patterns(corpus, max(pass1_threshold, min_frequency), max_length, least_score)
+    rows = score_counted(counted, min_frequency, min_repos, min_tokens, is_valid_ngram(F.col("pattern")))
+    return rows.where(F.col("score") >= least_score) if least_score > 0 else rows
+
+
+def likely_score(corpus: DataFrame, n: int, min_repos: int = MIN_REPOS, min_tokens: int = MIN_TOKEN_SPAN, max_length: int = MAX_PATTERN_LENGTH) -> int:
+    """A score that ``n`` n-grams are likely to reach: half of what some of the files let expect. 0 if there are
+    too few files or repetitions to tell. A guess: whoever counts by it has to see whether so many do."""
+    size = corpus.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    share = size // GUESSED_BY
+    if share < LEAST_SHARE:
+        return 0
+    some = materialise(corpus.where(F.pmod(F.xxhash64("file_id"), F.lit(share)) == 0).select("content", "repo"), "some-files")
+    files, guess = some.count(), 0
+    for seen in dict.fromkeys(max(files // s, LEAST_SEEN) for s in SHARES_SEEN):  # few patterns are in many files: they are counted first
+        best = top(scored_ngrams(some, seen, min_repos, min_tokens, seen, max_length), n).select("score").toArrow().column("score").to_pylist()
+        if len(best) == n:
+            guess = min(best) * share // 2
+            break
+    drop(some)
+    return guess
+
+
+def best_with(others: DataFrame, corpus: DataFrame, n: int, *limits, **named) -> DataFrame:
+    """pattern, frequency, token_count, score of the best ``n`` rows of ``merge_results`` of scored candidates and
+    ``scored_ngrams``, with its limits.
+
+    A merged row's score is the better one of its pattern, so rows under the n-th best score may be left out of
+    either channel (but repo counts may need them). That score is guessed; rows found by a guess have their exact scores, so if it was too high
+    the n-th best of them is a sure bound for a second count."""
+    best = lambda least: top(merge_results(others, scored_ngrams(corpus, *limits, least_score=least, **named)), n).drop("repo_count")
+    least = likely_score(corpus, n)
+    if not least:
+        return best(0)
+    found = materialise(best(least), "best")
+    scores = found.select("score").toArrow().column("score").to_pylist()  # n at most
+    sure = min(scores) if len(scores) == n else 0
+    if sure >= least:
+        return found
+    drop(found)
+    return best(sure)
 
 
 def mine_ngrams(corpus: DataFrame, top_n: int = 1000, *limits, **named) -> DataFrame:

@@ -132,7 +132,8 @@ dictionary AS (SELECT 'M' AS kind, CAST(row_number() OVER (ORDER BY channel, ran
 
 def _dictionary(spark, sf_dir):
     seeds = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(SEEDS)], "rank int, content string, category string")
-    best = candidates.top(_merged(spark, sf_dir), 200).select(F.col("pattern").alias("content"), (-F.col("score")).alias("rank"))
+    d = documents(spark, sf_dir)
+    best = ngrams.best_with(candidates.scored_candidates(d, REGEXES, 3), d, 200).select(F.col("pattern").alias("content"), (-F.col("score")).alias("rank"))
     return dictionary.candidate_union([(seeds, "M", "seed", None), (best, "M", "mined", 200)])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessellon.functions.text import TOKEN, has_tokens, strip, token_count
-from tessellon.operators import candidates, frequent
+from tessellon.operators import candidates, frequent, ngrams
 from tessellon.plans.mining import REGEXES
 from tests.test_engine import brute_pass1, brute_pass2, corpus, made
 
@@ -89,3 +89,58 @@ def test_enough_tokens_without_counting_all(spark):
         assert [bool(x[0]) for x in d.select(has_tokens(F.col("t"), n)).collect()] == [x[0] >= n for x in d.select(token_count(F.col("t"))).collect()]
     ends = ["Released \u2028", "\t a \r", "\u0085 ", " \n "]
     assert [x[0] for x in spark.createDataFrame([(t,) for t in ends], "t string").select(strip(F.col("t"))).collect()] == [t.strip(" \t\r") for t in ends]
+
+
+def scored_by_hand(texts, repos, threshold):
+    """pattern -> (frequency, repo_count, score) of plain Python."""
+    found = brute_pass2(texts, repos, {g for g, n in brute_pass1(texts).items() if n >= threshold})
+    return {p: (n, m, n * (len(re.findall(TOKEN, p)) - 1)) for p, (n, m) in found.items() if n >= threshold}
+
+
+@pytest.mark.parametrize(("seed", "least"), [(1, 60), (2, 150), (3, 10**6)])
+def test_nothing_that_scores_enough_is_missing(spark, seed, least):
+    texts, repos = made(seed, 150) + ODD * 3, ["r0", "r1", "r2"]
+    every = scored_by_hand(texts, repos, 2)
+    got = as_dict(frequent.frequent_patterns(corpus(spark, texts, repos), 2, 120, least))
+    assert got.items() <= {p: v[:2] for p, v in every.items()}.items()
+    assert {p for p, v in every.items() if v[2] >= least} <= set(got) and len(got) < len(every)
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_thresholds_past_a_full_bucket(spark, tasks):
+    """Buckets of one task are full at 255; thresholds of 300 and more, and counts of 280 and 320, are told apart still."""
+    texts = ["static river of the stone"] * 320 + ["public house and a garden"] * 280
+    random.Random(7).shuffle(texts)
+    rows = corpus(spark, texts).repartition(tasks)
+    got = as_dict(frequent.frequent_patterns(rows, 300, 120))
+    assert got["static river of the stone"][0] == 320 and {n for n, _ in got.values()} == {320}
+    every = scored_by_hand(texts, ["r0", "r1", "r2"], 2)
+    got = as_dict(frequent.frequent_patterns(rows, 2, 120, 2500))
+    assert {p for p, v in every.items() if v[2] >= 2500} <= set(got) and got.items() <= {p: v[:2] for p, v in every.items()}.items()
+
+
+@pytest.mark.parametrize("guess", [0, 1, 40, 10**9])
+def test_best_are_the_same_with_any_guess(spark, monkeypatch, guess):
+    d = corpus(spark, made(8, 120) + ["Stone of the river and the stone"] * 9, ["r0", "r1", "r2"])
+    regex = candidates.scored_candidates(d, REGEXES, 3)
+    counts = []
+    monkeypatch.setattr(ngrams, "likely_score", lambda *_: guess)
+    monkeypatch.setattr(ngrams, "frequent_patterns", lambda *a, f=frequent.frequent_patterns: counts.append(a[-1]) or f(*a))
+    for n in (5, 40, 100_000):
+        want = candidates.top(candidates.merge_results(regex, ngrams.scored_ngrams(d, 3, 2, 3, 3)), n).drop("repo_count").collect()
+        counts.clear()
+        got = ngrams.best_with(regex, d, n, 3, 2, 3, 3).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+        assert counts[:1] == [guess] and len(counts) <= 2
+        if guess == 10**9:  # too high: counted again, by a bound that is sure
+            assert 0 < counts[1] <= want[-1].score if n == 5 else counts[1] >= 0
+
+
+def test_guess_is_of_the_scores_of_all_files(spark, monkeypatch):
+    texts = made(9, 400) + ["Stone of the river and the stone"] * 400
+    d = corpus(spark, texts, ["r0", "r1", "r2"])
+    assert ngrams.likely_score(d, 5) == 0
+    monkeypatch.setattr(ngrams, "GUESSED_BY", sum(map(len, texts)) // 8)
+    best = sorted((v[2] for v in scored_by_hand(texts, ["r0", "r1", "r2"], 2).values()), reverse=True)[4]
+    assert 0.2 * best < ngrams.likely_score(d, 5) < best
+    assert ngrams.likely_score(d, 10**6) == 0
